@@ -7,15 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, topk
+from . import chat, licenses, mixing, packing, secrets, topk, toxicity
 from .common import table
 
 
+def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` replicated so that each source's share is in proportion to the root of its size."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents`, scored for toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", (~toxicity.trained_on()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every whole text of `documents`."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    line = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    rules = F.filter("findings", lambda f: f["kind"] != "net")
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(line(rules), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's 5 best rows of `embeddings` by integer inner product."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that each whole text and each notice line of `documents` matches."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` packed into sequences of 2048 words; equal texts never meet in one."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `conversations` and one more, formatted and read back."""
     odd = "\\### Assistant: </turn> ok"
@@ -24,9 +55,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(more))).drop("n_tokens", "n_loss_tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_topk": op4_topk, "op10_chat": op10_chat}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_mix": op1_poisson_mix, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op8_license": op8_license, "op9_packing": op9_packing, "op10_chat": op10_chat,
+}
 
 SQL: dict[str, str] = {
+    "op1_poisson_mix": mixing.sql(),
+    "op8_license": licenses.sql(),
     "op4_topk": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
