@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once.
 SLICE_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +61,15 @@ def _clean() -> None:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes `df` as Parquet to the shared folder and reads it back. `release` deletes it; else the end of the process does."""
+    """Cuts the lineage: writes `df` as Parquet to the shared folder and reads it back. `release` deletes it; else the end of the process does. What was shuffled for it goes as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/caslake-llm/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._caslake_path = path

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, secrets, topk, toxicity
+from . import chat, licenses, mixing, neardup, packing, secrets, substrings, topk, toxicity
 from .common import table
 
 
@@ -37,6 +37,16 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document: linked multisets of five-word shingles at 0.8 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of `documents` without the bytes that strings of 200 bytes repeat."""
+    return substrings.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licences that each whole text and each notice line of `documents` matches."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -56,7 +66,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_poisson_mix": op1_poisson_mix, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op8_license": op8_license, "op9_packing": op9_packing, "op10_chat": op10_chat,
+    "op1_poisson_mix": op1_poisson_mix, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_substrings": op7_substrings, "op8_license": op8_license, "op9_packing": op9_packing, "op10_chat": op10_chat,
 }
 
 SQL: dict[str, str] = {
