@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, neardup, packing, secrets, substrings, topk, toxicity
+from . import chat, licenses, mixing, neardup, packing, secrets, substrings, syncmers, topk, toxicity
 from .common import table
 
 
@@ -42,6 +42,12 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text of `documents` and of its edited text."""
+    rows = syncmers.edited(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` without the bytes that strings of 200 bytes repeat."""
     return substrings.dedup(table(spark, sf_dir, "documents"), digest=True)
@@ -66,7 +72,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_poisson_mix": op1_poisson_mix, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op7_substrings": op7_substrings, "op8_license": op8_license, "op9_packing": op9_packing, "op10_chat": op10_chat,
+    "op1_poisson_mix": op1_poisson_mix, "op2_toxicity": op2_toxicity, "op3_secrets": op3_secrets, "op4_topk": op4_topk, "op5_bagminhash": op5_bagminhash, "op6_syncmers": op6_syncmers, "op7_substrings": op7_substrings, "op8_license": op8_license, "op9_packing": op9_packing, "op10_chat": op10_chat,
 }
 
 SQL: dict[str, str] = {
