@@ -70,8 +70,8 @@ def mix(docs: DataFrame, targets: dict[str | None, float] | None = None, repetit
         joined = docs.join(F.broadcast(table), same)
     else:
         salt = fresh(docs, "mix_salt")
-        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(64)).cast("int")).join(salted, same & (F.col(salt) == salted[salt])).drop(salted[salt]).drop(salt)
+        salted = table.withColumn(f"{salt}_of", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        joined = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(64)).cast("int")).join(salted, same & (F.col(salt) == F.col(f"{salt}_of"))).drop(salt, f"{salt}_of")
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(text_or_empty(text)))
     # the least k with u < cdf[k] is the number of entries that u has reached; past the table is under 2^-53
     few = F.aggregate(F.sequence(F.lit(1), F.col(names["parts"])), F.lit(0), lambda acc, j: acc + _reached(F.col(names["cdf"]), uniform(F.col(names["key"]), seed, j)))
