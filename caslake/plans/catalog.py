@@ -1,7 +1,595 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with the SQL it must agree with where SQL expresses it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chunking, hashing, ignore, paths, text
+from ..operators import detect, fold, reads, routing
+from ..sources import cas
+from ..sources import log as logs
+from ..streaming import live
+from . import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = None
+
+
+def register(sql: str | None = None, name: str | None = None):
+    def put(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return put
+
+
+# --- locations and statistics
+
+UNDER = "(f.path = l.path OR starts_with(f.path, l.path || '/'))"
+
+
+@register(f"""WITH {V.FILES}, {V.LOCATIONS} SELECT l.id AS location_id, l.path AS location, count(f.id) AS file_count, CAST(coalesce(sum(f.size), 0) AS BIGINT) AS bytes, l.last_scanned_at_us
+    FROM locations l LEFT JOIN files f ON {UNDER} AND f.deleted_at_us IS NULL WHERE l.removed_at_us IS NULL GROUP BY ALL""")
+def location_stats(spark, sf):
+    return reads.all_location_stats(V.files(spark, sf), V.locations(spark, sf))
+
+
+FLAGSHIP = location_stats
+
+
+@register(f"WITH {V.FILES} SELECT count(id) AS file_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM files WHERE deleted_at_us IS NULL AND (path = '/src1' OR starts_with(path, '/src1/'))")
+def location_stats_one(spark, sf):
+    return reads.location_stats(V.files(spark, sf), "/src1")
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, path, added_at_us, scan_started_at_us, last_scanned_at_us, index_mode FROM locations WHERE removed_at_us IS NULL")
+def list_locations(spark, sf):
+    return reads.active_locations(V.locations(spark, sf)).drop("removed_at_us", "ignore_patterns")
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, path, removed_at_us FROM locations")
+def all_locations(spark, sf):
+    return reads.all_locations(V.locations(spark, sf)).select("id", "path", "removed_at_us")
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, path, row_number() OVER (ORDER BY length(path) DESC, path) AS at FROM locations WHERE removed_at_us IS NULL")
+def locations_by_length(spark, sf):
+    from pyspark.sql.window import Window
+
+    rows = reads.live(V.locations(spark, sf), "removed_at_us")
+    return rows.select("id", "path", F.row_number().over(Window.orderBy(F.length("path").desc(), "path")).cast("long").alias("at"))
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, path, scan_started_at_us, last_scanned_at_us FROM locations WHERE scan_started_at_us > coalesce(last_scanned_at_us, 0)")
+def interrupted_scans(spark, sf):
+    return fold.interrupted(V.locations(spark, sf)).select("id", "path", "scan_started_at_us", "last_scanned_at_us")
+
+
+# --- pages
+
+PAGE = "id, path, size, mtime_us, root_hash, deleted_at_us, indexed_at_us"
+LIVE0 = "deleted_at_us IS NULL AND (path = '/src0' OR starts_with(path, '/src0/'))"
+
+
+def _hex(df: DataFrame, *names: str) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, text.hash_hex(F.col(n)))
+    return df
+
+
+def _page(sort: str, order: str, first: bool, limit: int):
+    def run(spark, sf):
+        files = V.files(spark, sf)
+        if first:
+            return _hex(reads.list_files(files, "/src0", sort, order, limit), "root_hash")
+        rows, cursor = reads.page(files, "/src0", sort, order, limit)
+        return _hex(reads.list_files(files, "/src0", sort, order, limit, cursor) if cursor else files.where(F.lit(False)), "root_hash")
+
+    return run
+
+
+for _name, _sort, _order, _n, _limit in (
+    ("list_files_path_asc_p1", "path", "asc", 1, 7), ("list_files_path_asc_p2", "path", "asc", 2, 7), ("list_files_size_desc_p1", "size", "desc", 1, 9), ("list_files_size_desc_p2", "size", "desc", 2, 9),
+    ("list_files_mtime_asc", "mtime_us", "asc", 1, 500), ("list_files_indexed_desc", "indexed_at_us", "desc", 1, 100),
+):
+    register(f"WITH {V.FILES} SELECT {PAGE} FROM files WHERE {LIVE0} ORDER BY {_sort} {_order}, id {_order} LIMIT {_limit} OFFSET {(_n - 1) * _limit}", _name)(_page(_sort, _order, _n == 1, _limit))
+
+
+@register(f"WITH {V.FILES} SELECT size, path FROM files WHERE deleted_at_us IS NULL")
+def ls_live(spark, sf):
+    return reads.ls(V.files(spark, sf))
+
+
+@register(f"WITH {V.FILES} SELECT path FROM files WHERE deleted_at_us IS NULL AND path LIKE '%doc_12%'")
+def find_substring(spark, sf):
+    return reads.find(V.files(spark, sf), "DOC_12")
+
+
+@register(f"WITH {V.FILES} SELECT path FROM files WHERE deleted_at_us IS NULL AND lower(path) LIKE '%c_1_.t%'")
+def find_wildcard_term(spark, sf):
+    return reads.find(V.files(spark, sf), "C_1_.T")
+
+
+@register(f"WITH {V.FILES} SELECT path FROM files WHERE deleted_at_us IS NULL AND (path = '/SRC1' OR starts_with(lower(path), '/src1/'))")
+def under_location_case_fold(spark, sf):
+    return reads.under_location(V.files(spark, sf), "/SRC1", sqlite_like=True).select("path")
+
+
+@register(f"WITH {V.FILES} SELECT id, path, size, root_hash FROM files WHERE id = 12")
+def get_file(spark, sf):
+    return _hex(V.files(spark, sf).where(F.col("id") == 12).select("id", "path", "size", "root_hash"), "root_hash")
+
+
+@register(f"WITH {V.FILES}, {V.FILE_CHUNKS} SELECT f.id, count(c.ordinal) AS chunk_count FROM files f LEFT JOIN file_chunks c ON c.file_id = f.id GROUP BY f.id")
+def get_file_chunk_count(spark, sf):
+    return reads.chunk_counts(V.files(spark, sf), V.file_chunks(spark, sf))
+
+
+@register(f"""WITH {V.FILES}, {V.FILE_CHUNKS} SELECT c.file_id, path, ordinal, "offset", length, chunk_hash FROM files f JOIN file_chunks c ON c.file_id = f.id""")
+def file_with_chunks(spark, sf):
+    return _hex(reads.chunks_of(V.files(spark, sf), V.file_chunks(spark, sf)), "chunk_hash")
+
+
+# --- routing and predicates
+
+OWNER = f"(SELECT l.id FROM locations l WHERE l.removed_at_us IS NULL AND {UNDER} ORDER BY length(l.path) DESC LIMIT 1)"
+
+
+@register(f"WITH {V.FILES}, {V.LOCATIONS} SELECT f.path, {OWNER} AS location_id FROM files f")
+def resolve_location(spark, sf):
+    return routing.resolve(V.files(spark, sf), reads.live(V.locations(spark, sf), "removed_at_us"))
+
+
+def _glob_sql(segments: list[str], fulls: list[str]) -> str:
+    one = [f"regexp_matches(path, '(^|/)({'|'.join(segments)})(/|$)')"] if segments else []
+    return " OR ".join(one + [f"regexp_full_match(path, '{x}(/.*)?')" for x in fulls])
+
+
+@register(f"WITH {V.PAGES_REL} SELECT page_id, {_glob_sql([p.replace('.', '[.]').replace('*', '[^/]*') for p in ignore.DEFAULT_PATTERNS], [])} AS ignored FROM pages_rel")
+def ignore_match_default(spark, sf):
+    return V.pages_rel(spark, sf).select("page_id", ignore.ignored(F.col("path"), ignore.DEFAULT_PATTERNS).alias("ignored"))
+
+
+@register(f"WITH {V.PAGES_REL} SELECT page_id, path, {_glob_sql(['en', '8[^/]5'], ['[^/]*[.]example[.]net/fr', '.*page=.*'])} AS ignored FROM pages_rel")
+def ignore_match_custom(spark, sf):
+    return V.pages_rel(spark, sf).select("page_id", "path", ignore.ignored(F.col("path"), ["# note", " en/ ", "8?5", "", "/*.example.net/fr", "/**page=**"]).alias("ignored"))
+
+
+@register(f"WITH {V.FILES} SELECT path, regexp_full_match(substr(path, 2), 'en/doc_1[^/]*(/.*)?') AS ignored, regexp_full_match(substr(path, 2), '.*/en/doc_1[^/]*(/.*)?') AS any_depth FROM files")
+def ignore_quirk_double_star(spark, sf):
+    rel = F.substring("path", 2, 10_000)
+    return V.files(spark, sf).select("path", ignore.ignored(rel, ["**/en/doc_1*"]).alias("ignored"), ignore.ignored(rel, ["/**/en/doc_1*"]).alias("any_depth"))
+
+
+@register(f"WITH {V.FILES} SELECT path, path = '/src1' OR starts_with(path, '/src1/') OR path = '/src2/en' OR starts_with(path, '/src2/en/') AS internal FROM files")
+def internal_path(spark, sf):
+    return V.files(spark, sf).select("path", paths.inside_any(F.col("path"), ["/src1", "/src2/en"]).alias("internal"))
+
+
+@register(f"""WITH {V.LOCATIONS} SELECT path, CASE WHEN path = '/src10/en/data' OR starts_with(path, '/src10/en/data/') OR path = '/src11' OR starts_with(path, '/src11/') THEN 'internal_path'
+    WHEN starts_with('/src10/en/data', path || '/') OR starts_with('/src11', path || '/') THEN 'contains_internal_path' ELSE 'ok' END AS verdict FROM locations""")
+def admission_check(spark, sf):
+    return V.locations(spark, sf).select("path", paths.admission(F.col("path"), ["/src10/en/data", "/src11"]).alias("verdict"))
+
+
+@register(f"WITH {V.FILES} SELECT id, contains(path, '/priv/data/store/') AS hidden FROM (SELECT id, CASE WHEN id % 9 = 0 THEN '/priv/data/store' || path ELSE path END AS path FROM files)")
+def store_guard(spark, sf):
+    path = F.when(F.col("id") % 9 == 0, F.concat(F.lit("/priv/data/store"), "path")).otherwise(F.col("path"))
+    return V.files(spark, sf).select("id", paths.in_store(path).alias("hidden"))
+
+
+PRIVATE = "CASE id % 5 WHEN 0 THEN '/private/tmp' || path WHEN 1 THEN '/private/var' WHEN 2 THEN '/private/tmpfoo' || path WHEN 3 THEN '/private/etc' ELSE path END"
+
+
+@register(f"WITH {V.FILES} SELECT id, CASE WHEN p IN ('/private/tmp', '/private/var') OR starts_with(p, '/private/tmp/') OR starts_with(p, '/private/var/') THEN substr(p, 9) ELSE p END AS path FROM (SELECT id, {PRIVATE} AS p FROM files)")
+def normalize_path(spark, sf):
+    return V.files(spark, sf).select("id", paths.normalized(F.expr(PRIVATE)).alias("path"))
+
+
+@register(f"WITH {V.FILES} SELECT id, CASE WHEN starts_with(path, '/src1/') THEN substr(path, 7) ELSE path END AS shown, CASE WHEN starts_with(path, '/src1/') THEN substr(path, 7) END AS below FROM files")
+def relative_path(spark, sf):
+    return V.files(spark, sf).select("id", paths.shown_below(F.col("path"), F.lit("/src1")).alias("shown"), paths.relative_to(F.col("path"), "/src1").alias("below"))
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, list_last(string_split(path, '/')) AS name, path || '/' AS slashed FROM locations")
+def location_name(spark, sf):
+    return V.locations(spark, sf).select("id", paths.last_segment(F.col("path")).alias("name"), paths.trailing_slash(F.col("path")).alias("slashed"))
+
+
+@register(r"SELECT page_id, replace(replace(replace(url, '\', '\\'), '_', '\_'), '%', '\%') AS escaped FROM pages")
+def like_escape(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", paths.like_escaped(F.col("url")).alias("escaped"))
+
+
+# --- scalar functions
+
+
+@register(f"WITH {V.FILES} SELECT id, root_hash AS h, substr(root_hash, 1, 8) AS short, substr(root_hash, 1, 2) AS shard, root_hash AS whole FROM files")
+def hash_hex_short_shard(spark, sf):
+    h = F.col("root_hash")
+    return V.files(spark, sf).select("id", text.hash_hex(h).alias("h"), text.hash_short(h).alias("short"), text.hash_shard(h).alias("shard"), text.hash_full(h).alias("whole"))
+
+
+HEXES = "CASE id % 5 WHEN 0 THEN upper(hex_) WHEN 1 THEN substr(hex_, 1, 63) WHEN 2 THEN hex_ || 'z' WHEN 3 THEN replace(hex_, 'a', 'g') ELSE hex_ END"
+
+
+@register(f"WITH {V.FILES} SELECT id, CASE WHEN regexp_full_match(x, '[0-9A-Fa-f]{{64}}') THEN lower(x) END AS h, regexp_full_match(x, '[0-9A-Fa-f]{{64}}') AS valid FROM (SELECT id, {HEXES} AS x FROM (SELECT id, root_hash AS hex_ FROM files))")
+def hash_from_hex(spark, sf):
+    rows = _hex(V.files(spark, sf), "root_hash").withColumnRenamed("root_hash", "hex_").select("id", F.expr(HEXES).alias("x"))
+    h = text.hash_from_hex(F.col("x"))
+    return rows.select("id", text.hash_hex(h).alias("h"), text.hash_valid(h).alias("valid"))
+
+
+@register(f"WITH {V.FILES} SELECT id, id % 3 = 0 AS valid FROM files")
+def hash_valid(spark, sf):
+    h = F.when(F.col("id") % 3 == 0, F.col("root_hash")).when(F.col("id") % 3 == 1, F.substring("root_hash", 1, 31))
+    return V.files(spark, sf).select("id", text.hash_valid(h).alias("valid"))
+
+
+SIZES = "o_orderkey * o_orderkey * (o_orderkey % 7) * (o_orderkey % 1000)"
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024, 1) || ' KB' WHEN n < 1073741824 THEN round(n / 1048576, 1) || ' MB' ELSE round(n / 1073741824, 2) || ' GB' END AS shown
+    FROM (SELECT o_orderkey, {SIZES} AS n FROM orders)""")
+def format_bytes_cli(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", text.format_bytes(F.expr(SIZES)).alias("shown"))
+
+
+@register(f"""SELECT o_orderkey, CASE WHEN n IS NULL THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024, 1) || ' KiB' WHEN n < 1073741824 THEN round(n / 1048576, 1) || ' MiB'
+    WHEN n < 1099511627776 THEN round(n / 1073741824, 1) || ' GiB' ELSE round(n / 1099511627776, 1) || ' TiB' END AS shown FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 > 0 THEN {SIZES} END AS n FROM orders)""")
+def format_size_ui(spark, sf):
+    return V.table(spark, sf, "orders").select("o_orderkey", text.format_size(F.expr(f"CASE WHEN o_orderkey % 13 > 0 THEN {SIZES} END")).alias("shown"))
+
+
+NOW = 1706745600000000
+
+
+@register(f"""SELECT event_id, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago'
+    WHEN s < 31536000 THEN s // 2592000 || 'mo ago' ELSE strftime(make_timestamp(us), '%Y-%m-%d') END AS shown
+    FROM (SELECT event_id, us, CASE WHEN {NOW} - us < 0 THEN -1 ELSE ({NOW} - us) // 1000000 END AS s FROM (SELECT event_id, CAST({NOW} - power(1.002, event_id % 20000) * 1000000 + 3000000 AS BIGINT) AS us FROM events))""")
+def relative_time(spark, sf):
+    us = (F.lit(float(NOW)) - F.pow(F.lit(1.002), F.col("event_id") % 20000) * 1000000 + 3000000).cast("long")
+    return V.table(spark, sf, "events").select("event_id", text.relative_time(us, NOW).alias("shown"))
+
+
+def _raw():
+    nl = F.lit("\n")
+    return F.concat(F.lit("  *.log \n\n#c"), (F.col("id") % 3).cast("string"), F.lit("\r\na"), (F.col("id") % 2).cast("string"), nl, F.lit("a1\n # no\n x "))
+
+
+@register(f"WITH {V.FILES} SELECT id, CASE WHEN id % 2 = 1 THEN '*.log|#c' || id % 3 || '|a1|# no|x' ELSE '*.log|#c' || id % 3 || '|a0|a1|# no|x' END AS patterns FROM files", "sanitize_patterns")
+def _sanitize(spark, sf):
+    return V.files(spark, sf).select("id", F.array_join(text.sanitize_patterns(F.split(_raw(), "\n")), "|").alias("patterns"))
+
+
+@register(f"WITH {V.FILES} SELECT id, CASE WHEN id % 2 = 1 THEN '*.log|a1|x' ELSE '*.log|a0|a1|x' END AS patterns, '[\"*.log\"]' AS stored FROM files")
+def parse_patterns_text(spark, sf):
+    return V.files(spark, sf).select("id", F.array_join(text.parse_patterns(_raw()), "|").alias("patterns"), F.to_json(F.from_json(F.lit('["*.log"]'), "array<string>")).alias("stored"))
+
+
+@register("SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id WHEN 1 THEN user_id END AS id FROM events")
+def parse_id(spark, sf):
+    u = F.col("user_id").cast("string")
+    raw = F.when(F.col("event_id") % 4 == 0, u).when(F.col("event_id") % 4 == 1, F.concat(F.lit("+00"), u)).when(F.col("event_id") % 4 == 2, F.concat(F.lit("-"), u)).otherwise(F.concat(u, F.lit("x")))
+    return V.table(spark, sf, "events").select("event_id", text.parse_id(raw).alias("id"))
+
+
+@register(f"WITH {V.LOG} SELECT seq, CASE kind WHEN 'file_indexed' THEN '+  ' || path WHEN 'file_modified' THEN '~  ' || path WHEN 'file_deleted' THEN '-  ' || path WHEN 'location_added' THEN 'L+ ' || path WHEN 'location_removed' THEN 'L- ' || path ELSE '' END AS line FROM log")
+def live_event_line(spark, sf):
+    return V.log(spark, sf).select("seq", text.live_line(F.col("kind"), F.col("path"), F.col("from_path"), F.col("to_path")).alias("line"))
+
+
+@register(f"WITH {V.LOCATIONS} SELECT id, 'location:' || id AS topic, 'location:' || id || ':scan' AS scan FROM locations")
+def topic_names(spark, sf):
+    return V.locations(spark, sf).select("id", text.location_topic(F.col("id")).alias("topic"), text.scan_topic(F.col("id")).alias("scan"))
+
+
+@register(f"WITH {V.FILES} SELECT id, lpad(CAST(size AS VARCHAR), 10, ' ') AS padded FROM files")
+def padded_size(spark, sf):
+    return V.files(spark, sf).select("id", text.pad_left(F.col("size").cast("string")).alias("padded"))
+
+
+# --- the log
+
+
+@register(f"WITH {V.LOG} SELECT coalesce(max(seq), 0) AS head FROM log")
+def log_head(spark, sf):
+    return logs.head(V.log(spark, sf))
+
+
+@register(f"WITH {V.LOG} SELECT seq, kind, \"at\", path, size, root_hash FROM log WHERE seq > 500")
+def log_stream_from(spark, sf):
+    return _hex(logs.stream_from(V.log(spark, sf), 500).select("seq", "kind", "at", "path", "size", "root_hash"), "root_hash")
+
+
+@register(f"WITH {V.LOG} SELECT seq, kind, \"at\", path FROM log WHERE seq > 99 ORDER BY seq LIMIT 1")
+def log_event_at(spark, sf):
+    return logs.event_at(V.log(spark, sf), 100).select("seq", "kind", "at", "path")
+
+
+@register("SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq FROM orders")
+def log_append_seq(spark, sf):
+    return logs.numbered(V.table(spark, sf, "orders").select("o_orderdate", "o_orderkey"), 1000, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "seq")
+
+
+@register(f"WITH {V.LOG} SELECT seq, kind, \"at\", path, size, mtime_us, root_hash, mode FROM log")
+def event_codec(spark, sf):
+    back = logs.decode(logs.encode(logs.conform(V.log(spark, sf))))
+    return _hex(back.select("seq", "kind", "at", "path", "size", "mtime_us", "root_hash", "mode"), "root_hash")
+
+
+# --- change detection
+
+CLASSIFIED = f"{V.SCAN}, classified AS (SELECT s.*, CASE WHEN f.path IS NULL THEN 'new' WHEN f.size = s.size AND f.mtime_us = s.mtime_us THEN 'unchanged' ELSE 'modified' END AS outcome, f.deleted_at_us FROM scan s LEFT JOIN files f USING (path))"
+
+
+@register(f"WITH {CLASSIFIED} SELECT path, size, mtime_us, outcome FROM classified")
+def classify_scan(spark, sf):
+    return detect.classify(V.scan(spark, sf), V.files(spark, sf))
+
+
+@register(f"WITH {CLASSIFIED} SELECT path, CASE WHEN outcome = 'unchanged' AND deleted_at_us IS NOT NULL THEN 'modified' ELSE outcome END AS outcome FROM classified")
+def classify_revive(spark, sf):
+    return detect.classify(V.scan(spark, sf), V.files(spark, sf), revive_tombstones=True).select("path", "outcome")
+
+
+@register(f"WITH {CLASSIFIED} SELECT count(*) FILTER (outcome = 'new') AS new, count(*) FILTER (outcome = 'modified') AS modified, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'error') AS errors, CAST(sum(size) AS BIGINT) AS bytes FROM classified")
+def scan_tally(spark, sf):
+    return detect.tally(detect.classify(V.scan(spark, sf), V.files(spark, sf)))
+
+
+@register(f"WITH {CLASSIFIED} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM classified")
+def scan_completed(spark, sf):
+    return detect.completed_totals(detect.classify(V.scan(spark, sf), V.files(spark, sf)))
+
+
+@register(f"WITH {CLASSIFIED} SELECT 'file_' || CASE outcome WHEN 'new' THEN 'indexed' ELSE 'modified' END AS kind, path, size, mtime_us FROM classified WHERE outcome <> 'unchanged'")
+def scan_events(spark, sf):
+    return detect.events(detect.classify(V.scan(spark, sf), V.files(spark, sf)), F.lit(0).cast("long")).drop("at", "v")
+
+
+@register(f"WITH {V.SCAN} SELECT id, path FROM files WHERE deleted_at_us IS NULL AND path NOT IN (SELECT path FROM scan)")
+def delete_candidates(spark, sf):
+    return detect.delete_candidates(V.files(spark, sf), V.scan(spark, sf)).select("id", "path")
+
+
+# --- hashes, chunks and the store
+
+
+@register("SELECT p_partkey, sha256(unhex(string_agg(hex(unhex(sha256(CAST(l_orderkey AS VARCHAR)))), '' ORDER BY l_orderkey, l_linenumber))) AS root FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_partkey")
+def root_hash_sha(spark, sf):
+    rows = V.table(spark, sf, "lineitem").join(V.table(spark, sf, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    lists = rows.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("x"))
+    hashes = F.transform("x", lambda r: hashing.sha256(r["l_orderkey"].cast("string")))
+    return lists.select("p_partkey", text.hash_hex(hashing.root_hash(hashes)).alias("root"))
+
+
+HEX = "hex(encode(text))"
+SAMPLED = f"substr(h, 1, 200) || substr(h, 2 * (100 + st) + 1, 80) || substr(h, 2 * (100 + 2 * st) + 1, 80) || substr(h, 2 * (n - 100) + 1, 200) || {' || '.join(f'''printf('%02X', (n >> {8 * k}) & 255)''' for k in range(8))}"
+
+
+@register(f"SELECT doc_id, CASE WHEN n < 280 THEN sha256(unhex(h)) ELSE sha256(unhex({SAMPLED})) END AS h FROM (SELECT doc_id, {HEX} AS h, CAST(strlen(text) AS INTEGER) AS n, CAST((strlen(text) - 200) // 3 AS INTEGER) AS st FROM documents)")
+def sampled_hash_sha(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", text.hash_hex(hashing.sampled(F.encode("text", "UTF-8"), edge=100, samples=2, sample=40)).alias("h"))
+
+
+@register(f"WITH {V.FILE_CHUNKS} SELECT file_id, CAST(sum(length) AS BIGINT) AS size, count(*) AS n FROM file_chunks GROUP BY file_id")
+def total_size(spark, sf):
+    rows = V.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("file_id"), chunking.fixed_chunks(F.encode("text", "UTF-8"), V.CHUNK).alias("c")).where(F.size("c") > 0)
+    return rows.select("file_id", hashing.total_size(F.col("c")).alias("size"), F.size("c").cast("long").alias("n"))
+
+
+def _chunks(spark, sf):
+    return cas.reference_counts(V.all_chunks(spark, sf), V.live_chunks(spark, sf))
+
+
+@register(f"WITH {V.CHUNKS} SELECT hash, length, ref_count FROM chunks")
+def ref_counts(spark, sf):
+    return _hex(_chunks(spark, sf), "hash")
+
+
+@register(f"WITH {V.CHUNKS} SELECT hash, length, CASE WHEN hash IN (SELECT chunk_hash FROM live_chunks WHERE file_id % 3 = 0) THEN ref_count ELSE 0 END AS ref_count FROM chunks")
+def ref_counts_touched(spark, sf):
+    old = V.all_chunks(spark, sf).withColumn("ref_count", F.lit(0).cast("long"))
+    refs = V.live_chunks(spark, sf)
+    return _hex(cas.recount(old, refs, refs.where(F.col("file_id") % 3 == 0).select(F.col("chunk_hash").alias("hash"))).select("hash", "length", "ref_count"), "hash")
+
+
+@register(f'WITH {V.FILE_CHUNKS} SELECT count(*) AS "references", count(DISTINCT chunk_hash) AS chunks, CAST(sum(length) AS BIGINT) AS logical_bytes, (SELECT CAST(sum(length) AS BIGINT) FROM (SELECT DISTINCT chunk_hash, length FROM file_chunks)) AS physical_bytes FROM file_chunks')
+def dedup_stats(spark, sf):
+    return cas.dedup_totals(V.file_chunks(spark, sf))
+
+
+@register(f"WITH {V.CHUNKS} SELECT count(*) AS scanned, CAST(0 AS BIGINT) AS removed, CAST(coalesce(sum(length), 0) AS BIGINT) AS bytes_reclaimed FROM chunks WHERE ref_count = 0")
+def gc_dry_run(spark, sf):
+    return cas.sweep_totals(_chunks(spark, sf), dry_run=True)
+
+
+@register(f"WITH {V.CHUNKS} SELECT count(*) AS scanned, count(*) AS removed, CAST(coalesce(sum(length), 0) AS BIGINT) AS bytes_reclaimed FROM chunks WHERE ref_count = 0")
+def gc_sweep(spark, sf):
+    return cas.sweep_totals(_chunks(spark, sf))
+
+
+@register(f"WITH {V.CHUNKS} SELECT hash, length FROM chunks WHERE ref_count > 0")
+def gc_survivors(spark, sf):
+    return _hex(cas.survivors(_chunks(spark, sf)).select("hash", "length"), "hash")
+
+
+STORED = "SELECT sha256(text) AS hash, strlen(text) AS n FROM documents WHERE doc_id % 2 = 0"
+
+
+def _stored(spark, sf):
+    return V.table(spark, sf, "documents").where(F.col("doc_id") % 2 == 0).select(hashing.sha256(F.col("text")).alias("hash"), F.encode("text", "UTF-8").alias("bytes")).dropDuplicates(["hash"])
+
+
+def _offered(spark, sf):
+    return V.table(spark, sf, "documents").select(hashing.sha256(F.col("text")).alias("hash"), F.encode("text", "UTF-8").alias("bytes"))
+
+
+@register(f"SELECT DISTINCT sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE sha256(text) NOT IN (SELECT hash FROM ({STORED}))")
+def cas_put_new(spark, sf):
+    return cas.absent(_offered(spark, sf), _stored(spark, sf)).select(text.hash_hex(F.col("hash")).alias("hash"), F.octet_length("bytes").cast("long").alias("n"))
+
+
+@register(f"SELECT DISTINCT sha256(text) AS hash, CASE WHEN sha256(text) IN (SELECT hash FROM ({STORED})) THEN CAST(strlen(text) AS BIGINT) END AS n FROM documents")
+def cas_get(spark, sf):
+    return cas.fetched(_offered(spark, sf).select("hash").distinct(), _stored(spark, sf)).select(text.hash_hex(F.col("hash")).alias("hash"), F.octet_length("bytes").cast("long").alias("n"))
+
+
+@register(f"SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) IN (SELECT hash FROM ({STORED}))")
+def cas_has(spark, sf):
+    return _hex(cas.present(_offered(spark, sf).select("hash").distinct(), _stored(spark, sf)), "hash")
+
+
+@register("SELECT doc_id, '/store/' || substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3) AS path FROM documents")
+def cas_path(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", cas.chunk_path("/store", hashing.sha256(F.col("text"))).alias("path"))
+
+
+# --- the fold
+
+STATES = f"""{V.LOG}, content AS (SELECT path, min(seq) AS id, max(seq) AS last FROM log WHERE kind IN ('file_indexed', 'file_modified') GROUP BY path),
+    states AS (SELECT c.id, c.path, l.size, l.mtime_us, l.root_hash, l.at AS indexed_at_us, c.last,
+        (SELECT arg_max(d.at, d.seq) FROM log d WHERE d.path = c.path AND d.kind = 'file_deleted' AND d.seq > c.last) AS deleted_at_us FROM content c JOIN log l ON l.seq = c.last)"""
+
+
+def _states(spark, sf):
+    return fold.file_states(V.log(spark, sf))
+
+
+@register(f"WITH {STATES} SELECT id, path, size, mtime_us, root_hash, deleted_at_us, indexed_at_us FROM states")
+def fold_files(spark, sf):
+    return _hex(fold.files(_states(spark, sf)), "root_hash")
+
+
+@register(f"""WITH {STATES} SELECT s.id AS file_id, c.ordinal, c."offset", c.length, c.hash AS chunk_hash FROM states s JOIN log_chunks c ON c.seq = s.last WHERE s.deleted_at_us IS NULL""")
+def fold_file_chunks(spark, sf):
+    return _hex(fold.file_chunks(_states(spark, sf)), "chunk_hash")
+
+
+@register(f"""WITH {STATES}, refs AS (SELECT c.hash, count(*) AS n FROM states s JOIN log_chunks c ON c.seq = s.last WHERE s.deleted_at_us IS NULL GROUP BY 1)
+    SELECT e.hash, e.length, coalesce(n, 0) AS ref_count FROM (SELECT hash, min(length) AS length FROM log_chunks GROUP BY 1) e LEFT JOIN refs USING (hash)""")
+def fold_chunks(spark, sf):
+    log = V.log(spark, sf)
+    return _hex(cas.reference_counts(fold.chunks_ever(log), fold.file_chunks(fold.file_states(log))), "hash")
+
+
+@register(f"""WITH {V.LOG}, added AS (SELECT path, min(seq) AS id, max(seq) AS a, arg_max("at", seq) AS added_at_us FROM log WHERE kind = 'location_added' GROUP BY path),
+    since AS (SELECT l.*, a.id AS location_id FROM log l JOIN added a ON a.path = l.path AND l.seq > a.a)
+    SELECT a.id, a.path, a.added_at_us, (SELECT arg_max("at", seq) FROM since s WHERE s.path = a.path AND kind = 'location_removed') AS removed_at_us,
+        (SELECT arg_max("at", seq) FROM since s WHERE s.path = a.path AND kind = 'location_scan_started') AS scan_started_at_us,
+        (SELECT arg_max("at", seq) FROM since s WHERE s.path = a.path AND kind = 'location_scan_completed') AS last_scanned_at_us,
+        coalesce((SELECT arg_max(array_to_string(patterns, '|'), seq) FROM since s WHERE s.path = a.path AND kind = 'location_ignore_set'), '') AS ignore_patterns,
+        coalesce((SELECT arg_max(mode, seq) FROM since s WHERE s.path = a.path AND kind = 'location_mode_set'), 'shallow') AS index_mode FROM added a""")
+def fold_locations(spark, sf):
+    return fold.locations(V.log(spark, sf)).withColumn("ignore_patterns", F.array_join("ignore_patterns", "|"))
+
+
+@register(f"WITH {STATES.replace('FROM (SELECT *, CASE event_type', 'FROM (SELECT * FROM (SELECT *, CASE event_type').replace('END AS kind FROM events)),', 'END AS kind FROM events) WHERE event_id < 800)),')} SELECT id, path, size, deleted_at_us, (SELECT max(seq) FROM log) AS last_applied_seq FROM states")
+def fold_catch_up_to(spark, sf):
+    log = fold.until(V.log(spark, sf), 0, 800)
+    out = fold.files(fold.file_states(log)).select("id", "path", "size", "deleted_at_us")
+    return out.withColumn("one_", F.lit(1)).join(fold.checkpoint(log).withColumn("one_", F.lit(1)), "one_").drop("one_")
+
+
+# --- change feed
+
+SPANS = """spans AS (SELECT path AS location, seq AS start, coalesce("end", 9223372036854775807) AS "end", location_id FROM (
+        SELECT path, kind, seq, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS "end", min(seq) FILTER (kind = 'location_added') OVER (PARTITION BY path) AS location_id
+        FROM log WHERE kind IN ('location_added', 'location_removed')) WHERE kind = 'location_added')"""
+FEED = f"""{V.LOG}, {SPANS}, named AS (SELECT path, min(seq) AS file_id FROM log WHERE kind IN ('file_indexed', 'file_modified') GROUP BY path),
+    owned AS (SELECT l.seq, l.kind, l.path, (SELECT arg_max(s.location_id, length(s.location)) FROM spans s WHERE s.start <= l.seq AND l.seq < s."end" AND (l.path = s.location OR starts_with(l.path, s.location || '/'))) AS location_id
+        FROM log l WHERE l.kind IN ('file_indexed', 'file_modified', 'file_deleted')),
+    feed AS (SELECT 'location:' || location_id AS topic, substr(kind, 6) AS kind, o.path, CASE WHEN n.file_id <= o.seq THEN n.file_id END AS file_id, location_id, o.seq FROM owned o LEFT JOIN named n ON n.path = o.path WHERE location_id IS NOT NULL)"""
+
+
+@register(f"WITH {FEED} SELECT * FROM feed")
+def file_change_feed(spark, sf):
+    return routing.file_feed(V.log(spark, sf))
+
+
+KNOWN = "LEFT JOIN (SELECT path, min(seq) AS first FROM log WHERE kind = 'location_added' GROUP BY path) a ON a.path = l.path"
+
+
+@register(f"WITH {V.LOG} SELECT 'locations' AS topic, substr(kind, 10) AS kind, l.path, CASE WHEN first <= seq THEN first END AS location_id, seq FROM log l {KNOWN} WHERE kind LIKE 'location%' AND kind <> 'location_scan_progress'")
+def location_change_feed(spark, sf):
+    return routing.location_feed(V.log(spark, sf))
+
+
+@register(f"""WITH {V.LOG} SELECT 'location:' || first || ':scan' AS topic, first AS location_id, event_id % 10 AS files_done, event_id % 1000 AS bytes_done, l.path || '/now' AS current_path,
+    CASE WHEN event_id % 2 = 0 THEN CAST(10 AS BIGINT) END AS total_files, CASE WHEN event_id % 2 = 0 THEN CAST(1000 AS BIGINT) END AS total_bytes, seq FROM log l {KNOWN} WHERE kind = 'location_scan_progress' AND first <= seq""")
+def scan_progress_feed(spark, sf):
+    return routing.scan_progress_feed(V.log(spark, sf))
+
+
+def _page_and_feed(spark, sf):
+    log = V.log(spark, sf)
+    states = fold.file_states(log)
+    first = fold.locations(log).where(F.col("path") == "/u/5").select("id").first()
+    return reads.list_files(fold.files(states), "/u/5", "path", "asc", 5), routing.file_feed(log), fold.files(states), first["id"] if first else -1
+
+
+PAGE5 = f"{FEED}, {STATES[STATES.index('content AS') :]}, page AS (SELECT id FROM states WHERE deleted_at_us IS NULL AND (path = '/u/5' OR starts_with(path, '/u/5/')) ORDER BY path, id LIMIT 5), own AS (SELECT min(seq) AS id FROM log WHERE kind = 'location_added' AND path = '/u/5')"
+
+
+@register(f"WITH {PAGE5} SELECT file_id, CASE WHEN arg_max(kind, seq) IN ('deleted', 'moved_out') THEN 'remove' ELSE 'refresh' END AS action FROM feed WHERE location_id = (SELECT id FROM own) AND file_id IN (SELECT id FROM page) GROUP BY file_id")
+def page_apply_changes(spark, sf):
+    page, feed, files, loc = _page_and_feed(spark, sf)
+    return live.page_after(page, feed, files, loc)
+
+
+@register(f"WITH {PAGE5} SELECT count(*) AS pending_new FROM feed WHERE location_id = (SELECT id FROM own) AND file_id IS NOT NULL AND kind IN ('indexed', 'modified', 'moved_in') AND file_id NOT IN (SELECT id FROM page)")
+def page_pending_new(spark, sf):
+    page, feed, _, loc = _page_and_feed(spark, sf)
+    return live.pending_new(page, feed, loc)
+
+
+# --- what SQL doesn't express
+
+
+@register()
+def blake3_hashes(spark, sf):
+    return V.table(spark, sf, "documents").select("doc_id", text.hash_hex(hashing.digest(F.encode("text", "UTF-8"), "blake3")).alias("h"))
+
+
+@register()
+def fastcdc_chunks(spark, sf):
+    d = V.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return _hex(chunking.exploded(d, "doc_id", chunking.chunk_column("sha256", 256, 1024, 4096)(F.col("b"))), "hash")
+
+
+def moving_log(spark, sf):
+    """The log with a move for every scan progress of an event that isn't on a path of its own; targets are new each time."""
+    log = V.log(spark, sf)
+    moved = (F.col("kind") == "location_scan_progress") & (F.col("seq") % 5 == 0)
+    to = F.concat(F.lit("/u/"), (F.col("seq") % 17).cast("string"), F.lit("/m"), F.col("seq").cast("string"))
+    source = F.concat("path", F.lit("/f"), (F.element_at(F.split("path", "/"), -1).cast("int") + 17).cast("string"))
+    return log.withColumn("from_path", F.when(moved, source)).withColumn("to_path", F.when(moved, to)).withColumn("path", F.when(~moved, F.col("path"))).withColumn("kind", F.when(moved, "file_moved").otherwise(F.col("kind")))
+
+
+def _checkpoints(spark):
+    import tempfile
+
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="caslake-"))
+
+
+@register()
+def fold_with_moves(spark, sf):
+    _checkpoints(spark)
+    return _hex(fold.files(fold.file_states(moving_log(spark, sf))), "root_hash")
+
+
+@register()
+def move_feed(spark, sf):
+    return routing.move_feed(moving_log(spark, sf))
