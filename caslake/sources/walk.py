@@ -10,16 +10,13 @@ from __future__ import annotations
 import json
 import os
 import stat
-import sys
 from collections.abc import Iterator
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.ignore import Matcher, compile_patterns
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCHEMA = "path string, size long, mtime_us long"
 
 

@@ -115,3 +115,31 @@ def test_command_line(spark, tmp_path, tree, capsys):
     assert run("unwatch", str(tree)) == 0 and run("unwatch", str(tree)) == 1 and run("index", str(tree / "a")) == 0
     with pytest.raises(SystemExit):
         run("fly")
+
+
+def test_watchers_log_changes(spark, tmp_path, tree):
+    from caslake.streaming.watch import Watchers
+
+    log = EventLog(spark, str(tmp_path / "data" / "log"))
+    m = Manager(spark, log, str(tmp_path / "data"))
+    m.add(str(tree))
+    head = log.head()
+    w = Watchers(m, str(tmp_path / "watch"), interval="0 seconds")
+    try:
+        assert w.boot() == [str(tree)] == w.boot()
+        assert [r.watching for r in w.watched(m.locations()).collect()] == [True]
+        q = w.start(str(tree))
+        q.processAllAvailable()
+        assert log.head() == head
+        (tree / "fresh.txt").write_text("fresh")
+        (tree / "a" / "mid.txt").unlink()
+        (tree / "tmp" / "more.log").write_text("ignored")
+        deadline = time.time() + 60
+        while time.time() < deadline and log.head() < head + 2:
+            time.sleep(0.5)
+        rows = {(r.kind, os.path.relpath(r.path, tree)) for r in log.read().where(f"seq > {head}").collect()}
+        assert rows == {("file_indexed", "fresh.txt"), ("file_deleted", "a/mid.txt")}
+        w.stop(str(tree))
+        assert w.watching() == []
+    finally:
+        w.close()
