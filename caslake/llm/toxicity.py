@@ -2,13 +2,13 @@ r"""Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows (`MOST_TOXIC` and `MOST_CLEAN`, the first by a hash of the id, from the rows that
    may be learned from) is counted on the executors: in how many texts of each label a feature occurs. Features are
-   the distinct words of a whole text in lower case, and their beginnings and ends of some lengths.
+   the words of a whole text in lower case, their beginnings and ends of some lengths, and which of these it has twice.
 2. Voters: fixed lexicons, one a language; lexicons mined from those counts, split by kind and hash; and patterns. Each
-   says toxic, clean or nothing of a text.
+   says toxic or nothing of a text; one more says clean of texts of which no other says anything.
 3. A generative label model, fitted by expectation maximisation, estimates each voter's accuracy in both classes and
    the correlations between voters: a vote depends on the class and on the vote of the voter that it goes with most
-   closely given the class (a tree of the largest conditional mutual informations). The labels of the sample are one
-   more voter, whose accuracy is estimated like any other's.
+   closely given the class (a tree of the largest conditional mutual informations). The labels of the sample anchor the
+   classes, as one more voter whose accuracy is set, `LABELS_RIGHT`.
 4. A linear classifier (logistic, ridge, Newton's method) is trained on the model's posterior labels; its features are
    those with the clearest counts. It scores every text by a function that needs nothing but the text.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,10 @@ from .common import slices, text_or_empty
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 #: Features of the linear classifier.
 MOST_FEATURES = 600
+#: Log-likelihood ratios (chi-square with one degree of freedom) that a feature, and one of a mined lexicon, must reach.
+LEAST_RATIO, LEXICON_RATIO = 12.0, 18.0
+#: What is held of the sample's labels: the probability that they are right.
+LABELS_RIGHT = 0.99
 
 #: Common insults, by language.
 LEXICONS = {
@@ -46,6 +51,8 @@ LEXICONS = {
 }
 PATTERNS = {"you": r"\b(you|your|du|tu|vous|eres)\b.{0,40}\b(idiot\w*|stupid\w*|moron|loser|trash|pathetic|worthless|scum)\b", "leet": r"\b(sh[i1!]t|f[u*]ck\w*|b[i1!]tch|a[s$]{2}hole|st[u*]p[i1!]d)\b", "shouting": r"!{3,}"}
 WORD = r"\w+"
+#: Marks a part that a text has more than once.
+AGAIN = "~"
 
 
 def _parts(word: str) -> tuple[str, ...]:
@@ -54,10 +61,12 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 def features(text: str) -> set[str]:
-    out: set[str] = set()
-    for w in set(re.findall(WORD, text.lower())):
-        out.update(_parts(w))
-    return out
+    """Parts of the text's words, and the parts that occur more than once, marked."""
+    times: Counter[str] = Counter()
+    for w, n in Counter(re.findall(WORD, text.lower())).items():
+        for f in _parts(w):
+            times[f] += n
+    return set(times).union(f + AGAIN for f, n in times.items() if n > 1)
 
 
 def _counts(rows: DataFrame) -> pd.DataFrame:
@@ -77,10 +86,12 @@ def _counts(rows: DataFrame) -> pd.DataFrame:
     counts = rows.select("text", "y").mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = rows.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = total["p"] or 0, (total["n"] or 0) - (total["p"] or 0)
-    a, b = (F.col("pos") + 0.5) / (p + 1.0), (F.col("neg") + 0.5) / (n + 1.0)
-    telling = counts.where(F.col("pos") + F.col("neg") >= 3).withColumn("odds", F.log(a) - F.log(b)).withColumn("weight", F.abs(F.col("odds")) * F.abs(F.col("pos") / F.lit(max(p, 1)) - F.col("neg") / F.lit(max(n, 1))))
-    best = telling.orderBy(F.desc("weight"), "feature").limit(MOST_FEATURES).select("feature", "pos", "neg", "odds")
-    return pd.DataFrame([r.asDict() for r in best.collect()], columns=["feature", "pos", "neg", "odds"])
+    odds = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (n + 1.0))
+    term = lambda x: F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+    x, y = F.col("pos").cast("double"), F.col("neg").cast("double")
+    ratio = 2 * (term(x) + term(y) + term(p - x) + term(n - y) - term(x + y) - term(p + n - x - y) + term(F.lit(float(p + n))) - term(F.lit(float(p))) - term(F.lit(float(n))))
+    best = counts.withColumn("odds", odds).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).select("feature", "pos", "neg", "odds", "ratio")
+    return pd.DataFrame([r.asDict() for r in best.collect()], columns=["feature", "pos", "neg", "odds", "ratio"])
 
 
 def voters(mined: pd.DataFrame) -> list[tuple[str, object]]:
@@ -88,16 +99,17 @@ def voters(mined: pd.DataFrame) -> list[tuple[str, object]]:
     out: list[tuple[str, object]] = [(f"lexicon {lang}", frozenset(x.split())) for lang, x in LEXICONS.items()]
     out += [(f"pattern {k}", re.compile(x, re.I | re.S)) for k, x in PATTERNS.items()]
     groups: dict[str, set] = {}
-    for f, pos, odds in zip(mined["feature"], mined["pos"], mined["odds"], strict=True):
-        if odds > 2.5 and pos >= 3:
-            kind = "end" if f[0] == "*" else "beginning" if f[-1] == "*" else "word"
+    for f, ratio, odds in zip(mined["feature"], mined["ratio"], mined["odds"], strict=True):
+        if odds > 2.5 and ratio >= LEXICON_RATIO:
+            kind = "end" if f[0] == "*" else "beginning" if "*" in f else "word"
             groups.setdefault(f"mined {kind} {zlib.crc32(f.encode()) % 3}", set()).add(f)
     return out + [(k, frozenset(v)) for k, v in sorted(groups.items())]
 
 
 def votes(text: str, found: set[str], panel) -> list[int]:
-    """2 toxic, 1 clean, 0 nothing (of a text without words)."""
-    return [(2 if (not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text) is not None) else 1) if found else 0 for _, x in panel]
+    """2 toxic, 1 clean, 0 nothing; the last voter says clean of texts with words of which no other says anything."""
+    out = [2 * bool(not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text)) for _, x in panel]
+    return [*out, int(bool(found) and not any(out))]
 
 
 class LabelModel:
@@ -130,25 +142,43 @@ class LabelModel:
             t = t + self.smooth
             self.table.append(t / t.sum(2, keepdims=True))  # y, vote of the parent, vote
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
+    def posterior(self, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """P(class) of each row, from its votes and, if there is one, its label."""
         log = np.tile(np.log(self.prior), (len(v), 1))
+        if label is not None:
+            log += np.log(np.where(label[:, None] == np.arange(2), LABELS_RIGHT, 1 - LABELS_RIGHT))
         for i, t in enumerate(self.table):
-            log += np.log(t[:, v[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(v), int), v[:, i]]).T
+            says = np.log(t[:, v[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(v), int), v[:, i]]).T
+            log += np.where(v[:, [i]] > 0, says, 0)  # saying nothing is no evidence
         log -= log.max(1, keepdims=True)
         p = np.exp(log)
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, v: np.ndarray, start: np.ndarray, weight: np.ndarray) -> LabelModel:
+    def fit(self, v: np.ndarray, start: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None) -> LabelModel:
         """start: first guesses of P(toxic)."""
         p = np.stack([1 - start, start], 1)
         for _ in range(self.rounds):
             self._tables(v, p * weight[:, None])
-            p = self.posterior(v)
-        self.accuracy = [[float(t[y].mean(0)[y + 1]) for y in (0, 1)] for t in self.table]
+            p = self.posterior(v, label)
+        # of the votes that were cast in a class, the share that names it
+        self.accuracy = [[float(((v[:, j] == y + 1) * p[:, y] * weight).sum() / max(1e-9, ((v[:, j] > 0) * p[:, y] * weight).sum())) for y in (0, 1)] for j in range(v.shape[1])]
         return self
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
+def distinct(x: np.ndarray, mined: pd.DataFrame) -> list[int]:
+    """Features without those whose texts a clearer or as clear feature has too: what a word's beginning says needs no weight of the word."""
+    both = x.T @ x
+    n, odds = np.diag(both), mined["odds"].to_numpy(dtype=float)
+    order = sorted(range(len(mined)), key=lambda k: (-mined["ratio"].iloc[k], -len(mined["feature"].iloc[k]), mined["feature"].iloc[k]))
+    kept: list[int] = []
+    for k in order:
+        g = np.array(kept, dtype=int)
+        if not len(g) or not ((both[k, g] >= 0.95 * n[k]) & (odds[g] * np.sign(odds[k]) >= abs(odds[k]) - 0.7)).any():
+            kept.append(k)
+    return kept
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights and intercept for soft labels y and row weights w; the intercept isn't shrunk."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     b = np.zeros(x.shape[1])
@@ -201,16 +231,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     seen = rows.select("i", "y", "text").orderBy("i").mapInArrow(look, "y int, votes array<int>, at array<int>").collect()
     y = np.array([r["y"] for r in seen])
-    v = np.array([[*r["votes"], 2 if r["y"] else 1] for r in seen], dtype=int)
+    v = np.array([r["votes"] for r in seen], dtype=int)
     rate = np.array([1 - share, share]) / np.maximum(np.bincount(y, minlength=2) / len(y), 1e-9)
     weight = rate[y] / rate[y].mean()
-    model = LabelModel().fit(v, np.where(y == 1, 0.9, 0.1), weight)
-    posterior = model.posterior(v)[:, 1]
+    model = LabelModel().fit(v, np.where(y == 1, 0.9, 0.1), weight, y)
+    posterior = model.posterior(v, y)[:, 1]
     x = np.zeros((len(seen), len(index)), dtype=np.float32)
     for k, r in enumerate(seen):
         x[k, r["at"]] = 1
-    w, b = logistic(x, posterior, weight)
-    return {"weights": {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6}, "intercept": b, "voters": [n for n, _ in panel] + ["label"], "accuracy": model.accuracy, "parents": model.parent, "share": share}
+    chosen = distinct(x, mined)
+    w, b = logistic(x[:, chosen], posterior, weight)
+    named = [mined["feature"].iloc[k] for k in chosen]
+    return {"weights": {f: float(v) for f, v in zip(named, w, strict=True) if abs(v) > 1e-6}, "intercept": b, "voters": [*(n for n, _ in panel), "quiet"], "accuracy": model.accuracy, "parents": model.parent, "share": share}
 
 
 def scorer(spark, model: dict):
@@ -221,20 +253,21 @@ def scorer(spark, model: dict):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, intercept = shared.value
         find = re.compile(WORD).findall
+        bases = {f.removesuffix(AGAIN) for f in weights}
         known: dict[str, tuple] = {}
         for batch in batches:
             out = np.empty(len(batch))
             for k, text in enumerate(batch):
-                hits: set[str] = set()
-                for w in set(find(text.lower())) if text else ():
+                hits: dict[str, int] = {}
+                for w, n in Counter(find(text.lower())).items() if text else ():
                     h = known.get(w)
                     if h is None:
                         if len(known) > 200_000:
                             known.clear()
-                        known[w] = h = tuple(f for f in _parts(w) if f in weights)
-                    if h:
-                        hits.update(h)
-                out[k] = intercept + sum(weights[f] for f in sorted(hits))
+                        known[w] = h = tuple(f for f in _parts(w) if f in bases)
+                    for f in h:
+                        hits[f] = hits.get(f, 0) + n
+                out[k] = intercept + sum(weights.get(f, 0.0) + (weights.get(f + AGAIN, 0.0) if n > 1 else 0.0) for f, n in sorted(hits.items()))
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
     return score
