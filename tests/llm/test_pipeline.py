@@ -1,0 +1,71 @@
+from collections import Counter
+
+import corpus_pipeline as P
+import pytest
+from caslake.llm import secrets
+from caslake.llm.common import table
+from caslake.llm.queries import QUERIES
+from pyspark.sql import functions as F
+from test_op1_mixing import brute as brute_mix
+from test_op5_bagminhash import brute as brute_classes
+from test_op9_packing import check as check_packing
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def redacted(text, spans):
+    parts, last = [], 0
+    for a, b in spans:
+        if a >= last:
+            parts += [text[last:a], "[SECRET]"]
+        last = max(last, b)
+    return "".join([*parts, text[last:]])
+
+
+def test_stages_against_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    toxic = {r.doc_id for r in QUERIES["op2_toxicity"](spark, SF).collect() if r.predicted}
+    label = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect()}
+    assert not any(label.get(i) == 0 for i in toxic)
+    names = [n for n, _ in P.STAGES]
+    assert names == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
+    now = P.STAGES[0][1](spark, docs, SF).cache()
+    left = {i: r for i, r in rows.items() if i not in toxic}
+    assert {r.doc_id: r for r in now.collect()} == left and now.columns == docs.columns
+    now = P.STAGES[1][1](spark, now, SF).cache()
+    classes = brute_classes([(i, r.text) for i, r in left.items()])
+    assert {r.doc_id: r for r in now.collect()} == {i: left[i] for i in set(classes.values())}
+    before = {r.doc_id: r for r in now.collect()}
+    found = {r.doc_id: [(f.start, f.end) for f in r.findings] for r in secrets.scan(now).collect()}
+    now = P.STAGES[2][1](spark, now, SF).cache()
+    after = {r.doc_id: r for r in now.collect()}
+    assert any(found.values()) and set(after) == set(before)
+    for i, r in after.items():
+        assert r.text == redacted(before[i].text, found[i]) and r.n_chars == len(r.text) and (r.lang, r.source) == (before[i].lang, before[i].source)
+    now = P.STAGES[3][1](spark, now, SF).cache()
+    assert now.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.source) for r in now.collect()) == brute_mix([(i, r.text, r.source) for i, r in after.items()])
+    packed = P.STAGES[4][1](spark, now, SF).collect()
+    check_packing([(r.doc_id, r.text) for r in now.collect()], packed, 2048, 4)
+    whole = P.run(spark, SF).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, packed))
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_odd_documents(spark, tmp_path, n):
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "password=abcdefgh99 " + "long text here " * 30000, "en", "a", None), (None, "no id at all but words", "en", None, 3), (3, "same words as the other", "en", "a", 1), (4, "Same words as the other", "en", "b", 1)]
+    docs = spark.createDataFrame(rows if n else [], SCHEMA)
+    for x in ("score", "k", "bucket", "copy", "cluster", "bin_id", "findings", "class_id"):
+        docs = docs.withColumn(x, F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+        if k == 2:
+            kept = now.collect()
+            assert len(kept) == (5 if n else 0) and all("[SECRET]" in r.text for r in kept if r.doc_id == 2)
+    assert P.STAGES[-1][1](spark, now, str(tmp_path)).count() >= 0 and P.run(spark, str(tmp_path)).count() >= 0
