@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_or_empty
+from .common import fresh, materialise, text_or_empty
 
 PART = 16.0
 MOST_SOURCES = 50_000
@@ -36,7 +36,8 @@ def uniform(key: Column, seed: int, draw: Column) -> Column:
 
 def rates(docs: DataFrame, source: str, text: str, targets: dict[str | None, float] | None, repetition: float, temper: float) -> DataFrame:
     """source, parts, cdf: for each source, the number of draws and the table to invert. Without targets, shares are in proportion to a power of the sources' sizes."""
-    sizes = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.sum(F.length(text_or_empty(text))).cast("double").alias("size"))
+    # a row per source, written once: without that, each use of the sizes reads all documents
+    sizes = materialise(docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.sum(F.length(text_or_empty(text))).cast("double").alias("size")), "sizes")
     if targets is None:
         share = F.sqrt("size") if temper == 0.5 else F.pow("size", F.lit(temper))
     else:
