@@ -78,7 +78,7 @@ def _counts(rows: DataFrame) -> pd.DataFrame:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 for f in features(text):
                     seen.setdefault(f, [0, 0])[y] += 1
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 yield pa.RecordBatch.from_pydict({"feature": list(seen), "pos": [v[1] for v in seen.values()], "neg": [v[0] for v in seen.values()]})
                 seen = {}
         yield pa.RecordBatch.from_pydict({"feature": pa.array(list(seen), pa.string()), "pos": pa.array([v[1] for v in seen.values()], pa.int64()), "neg": pa.array([v[0] for v in seen.values()], pa.int64())})
@@ -262,7 +262,7 @@ def scorer(spark, model: dict):
                 for w, n in Counter(find(text.lower())).items() if text else ():
                     h = known.get(w)
                     if h is None:
-                        if len(known) > 200_000:
+                        if len(known) > 50_000:
                             known.clear()
                         known[w] = h = tuple(f for f in _parts(w) if f in bases)
                     for f in h:
