@@ -3,16 +3,16 @@
 A text's k-mers (`K` characters) are anchors if the least of their inner substrings (`S` characters, by hash) lies at
 their beginning or end. Whether a k-mer is one depends on nothing around it, so an anchor that two texts share is found
 in both, with its position. An anchor's name is a hash of the whole k-mer, from three of its inner substrings. The
-fingerprint is the set of names below a bound that falls with the length of the text, so that it has about `TARGET`
-names however long the text is; two fingerprints are compared below the lower of their bounds, by Jaccard similarity.
+fingerprint is the set of all names, about a quarter as many as the text has characters; two fingerprints are compared
+by Jaccard similarity.
 
 Anchors make edits cheap: those of a text that is put together from parts of others are the parts' own anchors, by
-their positions, and the few across the seam. For that, an anchor is kept if its name is below the bound for its
-position, which is enough for every beginning of the text.
+their positions, and the few across the seam.
 
 The next document is found without a global sort: documents go to buckets by ranges of the id, each about `BUCKET` rows
 of even ids and at most `MOST_BUCKETS` in all; the last row of each bucket is also sent to the bucket after it. Only
-one row per bucket meets in one place, to link the buckets.
+one row per bucket meets in one place, to link the buckets. Texts are sent without their anchors, which are larger and
+are found where the text arrives.
 
 Defined cases: null texts count as empty; texts without an anchor have one name, of the whole text, and the empty text
 has none; equal fingerprints have a likeness of 1, and an empty one has 0 to any other. In the order of documents, rows
@@ -29,16 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import text_or_empty
 
-K, S, TARGET = 12, 5, 48
+K, S = 12, 5
 WINDOW = K - S + 1
 BUCKET, MOST_BUCKETS = 128, 1_000_000
-FULL, LOW = 2**32, 2**32 - 1
-
-
-def bound(length: Column) -> Column:
-    """Names below it are in the fingerprint of a text of this length; a quarter of all k-mers are anchors."""
-    size = TARGET * WINDOW // 2
-    return F.when(length <= size, F.lit(FULL)).otherwise((F.lit(float(FULL) * size) / length).cast("long"))
+LOW = 2**32 - 1
 
 
 def inner(text: Column) -> Column:
@@ -63,14 +57,12 @@ def anchors(h: str) -> Column:
         closed = last.isNotNull() & (least(i, x, range(1, WINDOW)) | least(i, last, range(WINDOW - 1)))
         return F.when(closed, F.shiftleft(i.cast("long"), 32).bitwiseOR(name(i)))
 
-    return F.filter(F.transform(h, pick), lambda a: a.isNotNull() & (a.bitwiseAND(F.lit(LOW)) < bound(F.shiftright(a, 32))))
+    return F.filter(F.transform(h, pick), lambda a: a.isNotNull())
 
 
-def names(found: Column, most: Column, last: Column | None = None) -> Column:
-    """The names below `most`, of anchors up to the position `last`."""
-    low = lambda a: a.bitwiseAND(F.lit(LOW))
-    near = F.filter(found, lambda a: (low(a) < most) & (F.shiftright(a, 32) <= last if last is not None else F.lit(True)))
-    return F.transform(near, low)
+def up_to(found: Column, end: Column) -> Column:
+    """The anchors at positions below the one that `end` has in its upper half."""
+    return F.filter(found, lambda a: a < end)
 
 
 def whole(text: Column) -> Column:
@@ -78,30 +70,41 @@ def whole(text: Column) -> Column:
 
 
 def settle(found: Column, text: Column) -> Column:
-    out = F.array_sort(F.array_distinct(found))
+    """The sorted names of anchors, or that of the whole text."""
+    out = F.sort_array(F.array_distinct(F.transform(found, lambda a: a.bitwiseAND(F.lit(LOW)))))
     return F.when(F.size(out) > 0, out).otherwise(whole(text))
 
 
 def written(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """8 hexadecimal digits a name; a ninth before them, which keeps their zeros, is cut from all at once."""
+    digits = F.array_join(F.transform(fingerprint, lambda x: F.hex(x.bitwiseOR(F.lit(2**32)))), "")
+    return F.lower(F.regexp_replace(digits, "1(.{8})", "$1"))
 
 
-def likeness(a: Column, bound_a: Column, b: Column, bound_b: Column) -> Column:
-    most = F.least(bound_a, bound_b)
-    x, y = F.filter(a, lambda v: v < most), F.filter(b, lambda v: v < most)
-    both, one = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+def likeness(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    one = F.size(a) + F.size(b) - both
     return F.when(a == b, F.lit(1.0)).when(one > 0, both / one).otherwise(F.lit(0.0))
 
 
+def anchored(rows: DataFrame) -> DataFrame:
+    """rows with the anchors and the fingerprint (array of names) of their column text."""
+    rows = rows.withColumn("inner", inner(F.col("text"))).withColumn("anchors", anchors("inner")).drop("inner")
+    return rows.withColumn("fingerprint", settle(F.col("anchors"), F.col("text")))
+
+
+def _base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text"))
+    return base.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, n_chars, anchors, fingerprint (array of names)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("inner", inner(F.col("text")))
-    base = base.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), anchors("inner").alias("anchors"))
-    return base.withColumn("fingerprint", settle(names(F.col("anchors"), bound(F.col("n_chars"))), F.col("text")))
+    return anchored(_base(docs, id_col, text))
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, n_chars, anchors) with next_text, next_chars and next_anchors of the next row by falling doc_id."""
+    """rows (doc_id, text, n_chars) with anchors and fingerprint, and all of these but doc_id of the next row by falling doc_id."""
     rows = rows.withColumn("v", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("unnamed", F.col("doc_id").isNull())
     size = rows.select("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").cast("double").alias("a"), F.max("doc_id").cast("double").alias("b")).first()
     n = max(1, min(MOST_BUCKETS, -(-size["n"] // BUCKET)))
@@ -114,9 +117,12 @@ def with_next(rows: DataFrame) -> DataFrame:
     linked = _linked(light)
     both = rows.join(F.broadcast(linked), "bucket")
     copies = F.when(F.col("v") == F.col("last"), F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.struct(F.col("after").alias("at"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost"))))
-    sent = both.withColumn("to", F.explode(copies)).select("doc_id", "text", "n_chars", "anchors", "v", "unnamed", "to.at", "to.ghost")
-    w = Window.partitionBy("at").orderBy(F.desc("ghost"), F.desc("unnamed"), "v", "text")
-    return sent.select("doc_id", "text", "n_chars", "anchors", "ghost", *(F.lag(a).over(w).alias(b) for a, b in (("text", "next_text"), ("n_chars", "next_chars"), ("anchors", "next_anchors")))).where(~F.col("ghost")).drop("ghost")
+    sent = both.withColumn("to", F.explode(copies)).select("doc_id", "text", "n_chars", "v", "unnamed", "to.at", "to.ghost")
+    order = (F.desc("ghost"), F.desc("unnamed"), "v", "text")
+    found = anchored(sent.repartition("at").sortWithinPartitions("at", *order))  # sorted while the rows are small
+    w = Window.partitionBy("at").orderBy(*order)
+    after = (("text", "next_text"), ("n_chars", "next_chars"), ("anchors", "next_anchors"), ("fingerprint", "next_fingerprint"))
+    return found.select("doc_id", "text", "n_chars", "anchors", "fingerprint", "ghost", *(F.lag(a).over(w).alias(b) for a, b in after)).where(~F.col("ghost")).drop("ghost")
 
 
 def _linked(light: DataFrame) -> DataFrame:
@@ -127,19 +133,15 @@ def _linked(light: DataFrame) -> DataFrame:
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next: each text and what it becomes when its last half gives way to the beginning of the next document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("inner", inner(F.col("text")))
-    base = base.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), anchors("inner").alias("anchors"))
-    rows = with_next(base)
+    rows = with_next(_base(docs, id_col, text))
     half = F.floor(F.col("n_chars") / 2)
     rows = rows.withColumn("cut", F.col("n_chars") - half).withColumn("taken", F.least(half, F.col("next_chars")))
     head, tail = F.expr("substring(text, 1, cast(cut as int))"), F.expr("substring(next_text, 1, cast(taken as int))")
-    rows = rows.withColumn("edited_text", F.concat(head, tail)).withColumn("edited_chars", F.col("cut") + F.col("taken"))
+    rows = rows.withColumn("edited_text", F.concat(head, tail))
     seam = F.expr(f"substring(edited_text, cast(greatest(cut - {K - 2}, 1) as int), cast(least(cut, {K - 1}) + least(taken, {K - 1}) as int))")
     rows = rows.withColumn("seam_inner", inner(seam)).withColumn("seam", anchors("seam_inner"))
-    most, own, after = bound(F.col("edited_chars")), bound(F.col("n_chars")), bound(F.col("next_chars"))
-    parts = F.concat(names(F.col("anchors"), most, F.col("cut") - K), names(F.col("seam"), most), names(F.col("next_anchors"), most, F.col("taken") - K))
-    rows = rows.select(
-        "doc_id", "n_chars", "edited_text", most.alias("most"), own.alias("own"), after.alias("after"), settle(parts, F.col("edited_text")).alias("e"),
-        settle(names(F.col("anchors"), own), F.col("text")).alias("f"), settle(names(F.col("next_anchors"), after), F.col("next_text")).alias("x"),
-    )
-    return rows.select("doc_id", "n_chars", "edited_text", written(F.col("f")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("own"), F.col("e"), F.col("most")).alias("near_edited"), likeness(F.col("f"), F.col("own"), F.col("x"), F.col("after")).alias("near_next"))
+    end = lambda last: F.shiftleft(F.col(last) - (K - 1), 32)
+    rows = rows.withColumn("head_end", end("cut")).withColumn("tail_end", end("taken"))
+    parts = F.concat(up_to(F.col("anchors"), F.col("head_end")), F.col("seam"), up_to(F.col("next_anchors"), F.col("tail_end")))
+    rows = rows.select("doc_id", "n_chars", "edited_text", settle(parts, F.col("edited_text")).alias("e"), F.col("fingerprint").alias("f"), F.col("next_fingerprint").alias("x"))
+    return rows.select("doc_id", "n_chars", "edited_text", written(F.col("f")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"))
