@@ -16,9 +16,10 @@ of different classes:
 - Up to `CROWD` members and `CROWD_BYTES` of texts, one task links them all exactly: a pair at the threshold has one of
   its rarest shingles in common (prefix filtering), its sizes are close, and so are its distances to the pivot, since
   1 - similarity is a metric; pairs that already are in one class need no comparison.
-- Larger crowds take rounds: each bucket gets a new pivot, attached members are compared with others only at distances
-  to the pivot that the metric allows, and what isn't attached goes on in buckets of two equal bands, until no bucket
-  has members of different classes that weren't compared or ruled out.
+- Larger crowds go by their buckets: one within those bounds is linked by one task; a larger one takes rounds. It gets
+  a new pivot, attached members are compared with others only at distances to the pivot that the metric allows, and what
+  isn't attached goes on in the same bucket, until it is within the bounds or has no members of different classes that
+  weren't compared or ruled out.
 
 Classes are the connected components of the verified links.
 
@@ -277,9 +278,22 @@ def _central(members: DataFrame) -> DataFrame:
     return held.select("bucket", F.col("k").alias("a")).join(pivot, "bucket").where(F.col("a") != F.col("b"))
 
 
+def _link_small(now: DataFrame, texts: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Classes after one task linked each bucket of (bucket, k, c) within the bounds of a crowd, and the open rest."""
+    size = now.join(texts.select("k", F.octet_length("text").alias("bytes")), "k").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    size = materialise(size.select("bucket", ((F.col("n") <= CROWD) & (F.col("bytes") <= CROWD_BYTES)).alias("small")), "sizes")
+    small = now.join(size.where(F.col("small")).select("bucket"), "bucket").join(texts, "k").select(F.col("bucket").alias("b"), "k", "c", F.lit(0.0).alias("d"), "text")
+    links = materialise(small.repartition("b").sortWithinPartitions("b", "k").mapInArrow(_crowds(least), "a binary, b binary"), "links")
+    classes = _merge(classes, links)
+    rest = materialise(_open(now.join(size.where(~F.col("small")).select("bucket"), "bucket").select("bucket", "k"), classes), "open")
+    release(size, links, now)
+    return classes, rest
+
+
 def _rounds(members: DataFrame, texts: DataFrame, classes: DataFrame, far: float) -> DataFrame:
     """Classes after the members of each bucket were compared with pivots until none is left that could join another class."""
-    now, spent = materialise(_open(members, classes), "open"), 0
+    least = 1 + 1e-9 - far
+    classes, now = _link_small(materialise(_open(members.select("bucket", "k"), classes), "open"), texts, classes, least)
     while not now.isEmpty():
         pairs = materialise(_pairs(now), "pairs")
         d = _distances(pairs.where(F.col("ca") != F.col("cb")), texts)
@@ -297,13 +311,9 @@ def _rounds(members: DataFrame, texts: DataFrame, classes: DataFrame, far: float
             classes = _merge(classes, more.where(F.col("d") <= far).select("a", "b"))
             release(more)
         left = placed.where(F.col("d").isNull() | (F.col("d") > far)).select("bucket", F.col("a").alias("k"))
-        if not spent:  # from here on, buckets of two bands
-            left = _open(left, classes).select("bucket", "k")
-            left = left.join(members.select("k", F.col("bucket").alias("second")), "k").where(F.col("bucket") != F.col("second"))
-            left = left.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "k").distinct()
         after = materialise(_open(left, classes), "open")
         release(pairs, d, placed, doubtful, now)
-        now, spent = after, spent + 1
+        classes, now = _link_small(after, texts, classes, least)
     release(now)
     return classes
 
