@@ -17,44 +17,31 @@ def hash_text(t):
     return signed(xxhash.xxh64_intdigest(t.encode(), 42))
 
 
-def hash_longs(*v):
-    seed = 42
-    for x in v:
-        seed = xxhash.xxh64_intdigest((x % 2**64).to_bytes(8, "little"), seed)
-    return seed & LOW
-
-
-def bound(n):
-    return 2**32 if n <= 192 else int(float(2**32) * 192 / n)
+def hash_wide(t):
+    return signed(xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42))
 
 
 def fingerprint(t):
-    h = [hash_text(t[i : i + 5]) for i in range(len(t) - 4)]
-    out = set()
-    for i in range(len(h) - 7):
-        w = h[i : i + 8]
-        if min(w) in (w[0], w[-1]):
-            out.add(hash_longs(h[i], h[i + 5], h[i + 7]))
-    out = {x for x in out if x < bound(len(t))}
+    h = [hash_wide(t[i : i + 5]) for i in range(len(t) - 4)]
+    out = {hash_wide(t[i : i + 12]) & LOW for i in range(len(h) - 7) if min(h[i : i + 8]) in (h[i], h[i + 7])}
     return sorted(out) or ([hash_text(t) & LOW] if t else [])
 
 
-def like(a, na, b, nb):
-    most = min(bound(na), bound(nb))
-    x, y = {v for v in a if v < most}, {v for v in b if v < most}
+def like(a, b):
+    x, y = set(a), set(b)
     return 1.0 if a == b else len(x & y) / len(x | y) if x | y else 0.0
 
 
 def brute(rows):
-    order = sorted(((i is not None, i if i is not None else hash_text(t or ""), t or "", i) for i, t in rows), reverse=True)
+    order = sorted(((i is not None, i if i is not None else hash_text(t or ""), hash_text(t or ""), t or "", i) for i, t in rows), reverse=True)
     out = []
-    for k, (_, _, t, i) in enumerate(order):
-        nxt = order[(k + 1) % len(order)][2]
+    for k, (_, _, _, t, i) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][3]
         m = len(t) // 2
         e = t[: len(t) - m] + nxt[:m]
         f, g, x = fingerprint(t), fingerprint(e), fingerprint(nxt)
         hexes = lambda v: "".join(f"{n:08x}" for n in v)
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), hexes(f), hexes(g), like(f, len(t), g, len(e)), like(f, len(t), x, len(nxt))))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), hexes(f), hexes(g), like(f, g), like(f, x)))
     return out
 
 
@@ -90,6 +77,20 @@ def test_empty_table(spark):
     assert S.edited(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_outliers_and_hot_ids_are_spread(spark):
+    n = 6000
+    ids = [*range(n), 10**18, *([7] * n)]
+    df = spark.createDataFrame([(i, f"text number {k} of its own") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = df.selectExpr("doc_id", "text", "xxhash64(text) as x", "doc_id as v", "false as unnamed")
+    found = S.bucketed(rows).collect()
+    sizes = {}
+    for r in found:
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + 1
+    assert max(sizes.values()) < 6 * S.BUCKET and len(sizes) > 2 * n // S.BUCKET // 2
+    order = sorted(found, key=lambda r: (r.v, r.x))
+    assert all(a.bucket <= b.bucket for a, b in zip(order, order[1:], strict=False))
+
+
 def test_whole_table(spark):
     from caslake.llm.queries import QUERIES
 

@@ -1,16 +1,14 @@
 import random
 
 import pytest
-import test_op6_syncmers as model
 from caslake.llm import syncmers as S
-
-from test_op6_syncmers import SCHEMA, hash_longs, hash_text
+from test_op6_syncmers import LOW, SCHEMA, hash_wide
 
 
 def every(t):
     """The names of all closed syncmers, however long the text is."""
-    h = [hash_text(t[i : i + 5]) for i in range(len(t) - 4)]
-    return {hash_longs(h[i], h[i + 5], h[i + 7]) for i in range(len(h) - 7) if min(h[i : i + 8]) in (h[i], h[i + 7])}
+    h = [hash_wide(t[i : i + 5]) for i in range(len(t) - 4)]
+    return {hash_wide(t[i : i + 12]) & LOW for i in range(len(h) - 7) if min(h[i : i + 8]) in (h[i], h[i + 7])}
 
 
 def test_long_texts_keep_every_syncmer(spark):
@@ -29,9 +27,3 @@ def test_long_texts_keep_every_syncmer(spark):
         f, g = every(t), every(e)
         assert (got[i].edited_text, got[i].fingerprint, got[i].edited_fingerprint) == (e, hexes(f), hexes(g))
         assert got[i].near_edited == pytest.approx(like(f, g)) and got[i].near_next == pytest.approx(like(f, every(after)))
-
-
-def test_against_the_model_without_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(model, "bound", lambda n: 2**32)
-    model.test_against_brute_force(spark)
-    model.test_whole_table(spark)
