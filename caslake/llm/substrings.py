@@ -21,7 +21,7 @@ step counts rows by name, with partial sums, and joins back. Texts are shuffled
 the bytes of the representatives, and to be cut.
 
 Defined cases: null texts count as empty; texts under LEAST bytes lose nothing; repeated rows, also of one id, are
-copies of each other; ids may be null. Texts of any length are read whole. An empty table gives no rows. Other columns
+copies of each other; ids may be null, since a document's key has 64 bits or more of its text. Texts of any length are read whole. An empty table gives no rows. Other columns
 of the input are ignored.
 """
 
@@ -39,6 +39,8 @@ from .common import materialise, mix64, release, slices, text_or_empty
 
 LEAST, GRAM, PART = 200, 32, 16
 SLICE = 256 << 10
+#: A name with more rows than HOT, and more than one in MOST_HOT of all, is looked up by broadcast.
+HOT, MOST_HOT = 1_000, 20_000
 #: Names of single bytes and the odd factors of the doublings, by rule.
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = {d: mix64(np.array([d * 7919 + 5], dtype=np.uint64))[0] | np.uint64(1) for d in (1, 2, 4, 8, 16, 32)}
@@ -180,42 +182,50 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("i").take(at), b.column("h").take(at), pa.array(start << 16), pa.array(g), _signed(w), pa.array(n)], names=["i", "h", "place", "g", "w", "n"])
 
 
-def _often(rows: DataFrame, *by: str) -> DataFrame:
-    """The names that occur more than once."""
-    return rows.groupBy(*by).agg(F.count("*").alias("times")).where(F.col("times") > 1).select(*by)
+def _often(rows: DataFrame, *by: str, times=None) -> DataFrame:
+    """The names that occur more than once (or whose `times` is more), with how often."""
+    return rows.groupBy(*by).agg((F.count("*") if times is None else times).alias("times")).where(F.col("times") > 1).select(*by, "times")
+
+
+def _among(rows: DataFrame, often: DataFrame, *by: str) -> DataFrame:
+    """The rows whose name is among `often`, which is written. Names that fill more than one row in `MOST_HOT` are at most `MOST_HOT`: they are broadcast, so that no task gets all rows of a name; the others are joined."""
+    least = max(HOT, (often.agg(F.sum("times")).first()[0] or 0) // MOST_HOT)
+    hot = often.where(F.col("times") > least).select(*by, F.lit(True).alias("hot_"))
+    marked = rows.join(F.broadcast(hot), list(by), "left")
+    rest = marked.where(F.col("hot_").isNull()).drop("hot_").join(often.where(F.col("times") <= least).select(*by), list(by), "left_semi")
+    return marked.where(F.col("hot_")).drop("hot_").unionByName(rest)
 
 
 def _join(left: DataFrame, lists: DataFrame, how: str, *by: str) -> DataFrame:
-    """left with the lists of its key, null ids included. The lists, which are small, are what is hashed."""
-    right = lists.withColumnsRenamed({x: f"{x}_" for x in by}).hint("shuffle_hash")
-    same = F.lit(True)
-    for x in by:
-        same &= left[x].eqNullSafe(F.col(f"{x}_")) if x == "i" else left[x] == F.col(f"{x}_")
-    return left.join(right, same, how).drop(*(f"{x}_" for x in by))
+    """left with the lists of its key. The lists, which are small, are what is hashed."""
+    return left.join(lists.hint("shuffle_hash"), list(by), how)
 
 
 def repeats(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(i, h, place) of runs of repeated windows of the rows (i, h, text), and what was written for it."""
-    seen = materialise(base.mapInArrow(_anchor_rows, "i long, h int, place long, g long, c long"), "anchors")
-    alive = materialise(seen.join(_often(seen, "g"), "g", "left_semi"), "alive")
-    release(seen)
-    classes = alive.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("i", "h", "place")).alias("one"))
-    whole = alive.join(classes.where(F.col("n") > 1).select("g", "c"), ["g", "c"], "left_semi").select("i", "h", "place")
-    unlike = classes.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("g")
-    ones = classes.join(unlike, "g", "left_semi").select("one.i", "one.h", "one.place", "g", "n")
+    seen = materialise(base.mapInArrow(_anchor_rows, "i long, h long, place long, g long, c long"), "anchors")
+    grams = materialise(_often(seen, "g"), "grams")
+    alive = materialise(_among(seen, grams, "g"), "alive")
+    release(seen, grams)
+    classes = materialise(alive.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("i", "h", "place")).alias("one")), "classes")
+    whole = _among(alive, classes.where(F.col("times") > 1).select("g", "c", "times"), "g", "c").select("i", "h", "place")
+    unlike = materialise(_often(classes, "g"), "unlike")
+    ones = _among(classes, unlike, "g").select("one.i", "one.h", "one.place", "g", F.col("times").alias("n"))
     todo = ones.groupBy("i", "h").agg(F.collect_list(F.struct("place", "g", "n")).alias("todo"))
-    pieces = materialise(_join(base, todo, "inner", "i", "h").select("i", "h", "text", "todo").mapInArrow(_pieces, "i long, h int, run long, g long, n long, raw binary"), "pieces")
-    parts = materialise(pieces.mapInArrow(_part_rows, "i long, h int, run long, place long, g long, full long, core long, n long"), "parts")
-    equal = parts.where(F.col("n") == 1).join(_often(parts, "g", "full"), ["g", "full"], "left_semi").select("i", "h", "place")
+    pieces = materialise(_join(base, todo, "inner", "i", "h").select("i", "h", "text", "todo").mapInArrow(_pieces, "i long, h long, run long, g long, n long, raw binary"), "pieces")
+    release(unlike)
+    parts = materialise(pieces.mapInArrow(_part_rows, "i long, h long, run long, place long, g long, full long, core long, n long"), "parts")
     # one part stands for all of its rank, whose windows are known to repeat if it has several members
-    kinds = parts.groupBy("g", "core", "full").agg(F.min(F.struct("i", "h", "run", "place", "n")).alias("one"), F.count("*").alias("times"))
-    near = kinds.groupBy("g", "core").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("g", "core")
-    rest = kinds.join(near, ["g", "core"], "left_semi").select("one.i", "one.h", "one.run", "one.place", "g", F.when(F.col("times") > 1, F.lit(2)).otherwise(F.col("one.n")).cast("long").alias("n"))
+    kinds = materialise(parts.groupBy("g", "core", "full").agg(F.min(F.struct("i", "h", "run", "place", "n")).alias("one"), F.count("*").alias("times")), "kinds")
+    equal = _among(parts.where(F.col("n") == 1), kinds.where(F.col("times") > 1).select("g", "core", "full", "times"), "g", "core", "full").select("i", "h", "place")
+    near = materialise(_often(kinds, "g", "core"), "near")
+    rest = _among(kinds, near, "g", "core").select("one.i", "one.h", "one.run", "one.place", "g", F.when(F.col("times") > 1, F.lit(2)).otherwise(F.col("one.n")).cast("long").alias("n"))
     lists = rest.groupBy("i", "h", "run").agg(F.collect_list(F.struct("place", "g", "n")).alias("todo"))
-    single = materialise(_join(pieces.select("i", "h", "run", "raw"), lists, "inner", "i", "h", "run").select("i", "h", "run", "raw", "todo").mapInArrow(_window_rows, "i long, h int, place long, g long, w long, n long"), "windows")
-    release(pieces)
-    last = single.where(F.col("n") == 1).join(_often(single, "g", "w"), ["g", "w"], "left_semi").select("i", "h", "place")
-    return whole.unionByName(equal).unionByName(last), [alive, parts, single]
+    single = materialise(_join(pieces.select("i", "h", "run", "raw"), lists, "inner", "i", "h", "run").select("i", "h", "run", "raw", "todo").mapInArrow(_window_rows, "i long, h long, place long, g long, w long, n long"), "windows")
+    release(pieces, near)
+    ranked = materialise(_often(single, "g", "w"), "ranked")
+    last = _among(single.where(F.col("n") == 1), ranked, "g", "w").select("i", "h", "place")
+    return whole.unionByName(equal).unionByName(last), [alive, classes, parts, kinds, single, ranked]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +246,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(b.num_rows):
             a, e = offsets[k], offsets[k + 1]
             kept.append((data[a:e] if not removed[k] else data[a:e][~gone[a:e]]).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(total(first).astype(np.int64)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(total(first).astype(np.int64)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +257,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, and kept (bytes) or, if asked, their kept_sha256."""
-    base = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text).alias("text")).withColumn("h", F.hash("text"))
-    found, _ = repeats(base)
-    todo = found.groupBy("i", "h").agg(F.collect_set(F.struct("place")).alias("todo"))
-    joined = _join(base, todo, "left", "i", "h").select("i", "text", "todo")
+    # a document's key: its id and a hash of its text; without an id, two hashes of 64 bits
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    base = base.withColumn("i", F.coalesce("doc_id", F.xxhash64("text", F.lit(7))))
+    found, held = repeats(base)
+    # lists by key are written, so that the tables they come from can go
+    todo = materialise(found.groupBy("i", "h").agg(F.collect_set(F.struct("place")).alias("todo")), "found")
+    release(*held)
+    joined = _join(base, todo, "left", "i", "h").select("doc_id", "text", "todo")
     if digest:
         return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
