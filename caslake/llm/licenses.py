@@ -8,9 +8,13 @@ and each of its lines that has a word which all known notices hold ("license" in
 All of it are SQL functions. The table of digests has a row per known text and is broadcast while it has at most
 `MOST_KNOWN` rows; beyond, the distinct digests of the documents are joined with it first.
 
-Defined cases: null texts count as empty, whose form is empty and matches nothing; ids may be null; the notices of
-rows with one id are put together; repeated rows give a row each. An empty table gives no rows. Other columns are
-ignored.
+Notices belong to texts: their lines are looked up once for each distinct text that has any, by its digest, and joined
+back over `SALTS` salts, so that copies of one text meet in no single task.
+
+Defined cases: null texts count as empty, whose form is empty and matches nothing; ids may be null or repeated, since
+nothing is joined by id; each row gives one row with what its own text says. Very long texts are read whole. Two known
+texts never share a digest: the first in the order of the registry names it. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .license_texts import NAMES, OPENINGS, SPELLINGS, TEXTS, TITLES
+from .license_texts import DIGESTS, NAMES, OPENINGS, SPELLINGS, SUFFIXED, SUFFIXES, TEXTS, TITLES
 
 MOST_KNOWN = 100_000
+SALTS = 16
 #: Fixed patterns, which Java, RE2 and Python read alike.
 COPYRIGHT = r"(?m)^[ \t#/*;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|by |<|\[)[^\n]*$"
 RIGHTS = r"(?m)^[ \t#/*;-]*all rights reserved[. ]*$"
@@ -60,7 +65,11 @@ def known() -> list[tuple[str, str]]:
         for opening in OPENINGS:
             for x in names:
                 for article in ("", "the ", "a "):
-                    put(name, f"{opening} {article}{x}")
+                    for suffix in SUFFIXES if name in SUFFIXED else [""]:
+                        put(name, f"{opening} {article}{x}{suffix}")
+    for name, digests in DIGESTS.items():
+        for digest in digests:
+            out.setdefault(digest, name)
     return sorted(out.items())
 
 
@@ -80,12 +89,17 @@ def _look_up(units: DataFrame, table: DataFrame, digest: str) -> DataFrame:
 def scan(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, license (of the whole text, or null), n_notices, notices (the licences of the notice lines, sorted and comma-joined, or '')."""
     table = registry(docs.sparkSession) if table is None else table
+    own = F.md5(F.col("t"))
+    lines = F.transform(F.filter(F.split("t", "\n"), lambda x: x.rlike(NOTICE)), lambda x: F.sha2(canonical(x), 256))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text).alias("t"))
-    whole = _look_up(rows.select("doc_id", F.sha2(canonical(F.col("t")), 256).alias("digest")), table, "digest")
-    lines = rows.where(F.col("t").rlike(NOTICE)).select("doc_id", F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(NOTICE))
-    named = _look_up(lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("line_digest")), table, "line_digest").where(F.col("license").isNotNull())
-    notices = named.groupBy(F.col("doc_id").alias("notice_id")).agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    return whole.join(notices, F.col("doc_id").eqNullSafe(F.col("notice_id")), "left").select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    whole = rows.select("doc_id", F.when(F.col("t").rlike(NOTICE), own).alias("own"), F.sha2(canonical(F.col("t")), 256).alias("digest"))
+    whole = _look_up(whole, table, "digest").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    texts = rows.where(F.col("t").rlike(NOTICE)).select(own.alias("known_own"), lines.alias("lines")).groupBy("known_own").agg(F.first("lines").alias("lines"))
+    named = _look_up(texts.select("known_own", F.explode("lines").alias("line_digest")), table, "line_digest").where(F.col("license").isNotNull())
+    notices = named.groupBy("known_own").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    salted = notices.withColumn("known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = whole.join(salted, (F.col("own") == F.col("known_own")) & (F.col("salt") == F.col("known_salt")), "left")
+    return joined.select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def sql() -> str:
@@ -100,9 +114,9 @@ def sql() -> str:
     rows = ", ".join(f"('{d}', '{n}')" for d, n in known())
     return f"""
         WITH known(digest, license) AS (VALUES {rows}),
-        whole AS (SELECT doc_id, sha256({form("coalesce(text, '')")}) AS digest FROM documents),
-        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-        named AS (SELECT l.doc_id, k.license FROM (SELECT doc_id, sha256({form("line")}) AS digest FROM lines WHERE regexp_matches(line, '{NOTICE}')) l JOIN known k USING (digest)),
-        notices AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM named GROUP BY doc_id)
+        whole AS (SELECT doc_id, coalesce(text, '') AS text, sha256({form("coalesce(text, '')")}) AS digest FROM documents),
+        lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT text FROM documents)),
+        named AS (SELECT l.text, k.license FROM (SELECT text, sha256({form("line")}) AS digest FROM lines WHERE regexp_matches(line, '{NOTICE}')) l JOIN known k USING (digest)),
+        notices AS (SELECT text, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM named GROUP BY text)
         SELECT w.doc_id, w.digest, k.license, coalesce(n.n_notices, 0) AS n_notices, coalesce(n.notices, '') AS notices
-        FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.doc_id IS NOT DISTINCT FROM w.doc_id"""
+        FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN notices n ON n.text = w.text"""

@@ -1,4 +1,8 @@
+import os
+from pathlib import Path
+
 import duckdb
+import pytest
 from caslake.llm import license_texts as T
 from caslake.llm import licenses as L
 
@@ -39,3 +43,19 @@ def test_whole_table_against_sql(spark):
     want = sorted(tuple(map(str, r)) for r in rows.fetchall())
     df = L.scan(spark.read.parquet(f"{sf}/documents.parquet")).select(names)
     assert sorted(tuple(map(str, r)) for r in df.collect()) == want
+
+
+def test_rows_without_or_with_one_id_keep_their_own_notices(spark):
+    rows = [(None, "Licensed under MIT\nwords"), (None, "no notice"), (3, "SPDX-License-Identifier: GPL-2.0-or-later"), (3, "another text"), (None, "Licensed under MIT\nwords")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_notices, r.notices) for r in L.scan(df).collect())
+    assert got == [(0, 0, ""), (0, 1, "MIT"), (0, 1, "MIT"), (3, 0, ""), (3, 1, "GPL-2.0")]
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-2"), reason="needs the system's licence texts")
+def test_full_texts_of_long_licences(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(k, Path("/usr/share/common-licenses", f).read_text()) for k, f in enumerate(names.values())]
+    texts += [(9, texts[0][1] + " with a change"), (10, texts[1][1].upper().replace("\n", "\r\n  "))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.license for r in L.scan(df).collect()} == {**dict(enumerate(names)), 9: None, 10: "GPL-2.0"}
