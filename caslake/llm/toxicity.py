@@ -3,25 +3,27 @@ r"""Toxicity by weak supervision.
 1. A bounded sample of labelled rows (`MOST_TOXIC` and `MOST_CLEAN`, the first by a hash of the id, from the rows that
    may be learned from) is counted on the executors: in how many texts of each label a feature occurs. Features are
    the words of a whole text in lower case, their beginnings and ends of some lengths, and which of these it has twice.
-2. Voters: fixed lexicons, one a language; lexicons mined from those counts, split by kind and hash; and patterns. Each
-   says toxic or nothing of a text; one more says clean of texts of which no other says anything.
-3. A generative label model, fitted by expectation maximisation, estimates each voter's accuracy in both classes and
-   the correlations between voters: a vote depends on the class and on the vote of the voter that it goes with most
-   closely given the class (a tree of the largest conditional mutual informations). The labels of the sample anchor the
-   classes, as one more voter whose accuracy is set, `LABELS_RIGHT`.
+2. Voters: fixed lexicons, one a language; lexicons mined from those counts, toxic and clean ones, split by kind and
+   by how telling they are; and patterns. A lexicon says its class of a text that has any of its features, and nothing of others; one more
+   voter says clean of texts of which nobody says toxic. Labels have no other part in the votes.
+3. A generative label model, fitted by expectation maximisation to the votes alone, estimates each voter's accuracy in
+   both classes and the correlations between voters: a vote depends on the class and on the vote of the voter that it
+   goes with most closely given the class (a tree of the largest conditional mutual informations). It starts from the
+   voters' majority; the only thing it is told of the labels is the share of toxic ones, as the prior of the classes.
 4. A linear classifier (logistic, ridge, Newton's method) is trained on the model's posterior labels; its features are
-   those with the clearest counts. It scores every text by a function that needs nothing but the text.
+   those with the clearest counts, at most `MOST_FEATURES`. It scores every text by a function that needs nothing but
+   the text.
 
 Defined cases: null and empty texts, and texts without any known feature, score what the intercept says, between 0 and
 1; null labels are ignored, and the largest of several labels of one id counts; rows with a null id are scored but not
-learned from; repeated rows score alike. Without labels of both classes, the fixed lexicons decide. Whole texts are
-read, whatever their length. Columns of the input stay, whatever their names.
+learned from; repeated rows score alike; features of equal counts go by name. Without labels of both classes, as with
+an empty table of labels, the fixed lexicons decide; an empty table of documents gives no rows. Whole texts are read,
+whatever their length. Columns of the input stay; the score's name must not be one of them in any case.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,19 +37,20 @@ from .common import slices, text_or_empty
 
 #: Bounds of the sample that the model is fitted on.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-#: Features of the linear classifier.
+#: Features that voters and the linear classifier choose from: the most telling ones of the sample, which is bounded too.
 MOST_FEATURES = 600
-#: Log-likelihood ratios (chi-square with one degree of freedom) that a feature, and one of a mined lexicon, must reach.
-LEAST_RATIO, LEXICON_RATIO = 12.0, 18.0
-#: What is held of the sample's labels: the probability that they are right.
-LABELS_RIGHT = 0.99
+#: Log-likelihood ratio (chi-square with one degree of freedom) that a feature must reach.
+LEAST_RATIO = 12.0
+#: Log odds ratio of a mined lexicon's features, at least, either way.
+LEXICON_ODDS = 2.5
+CLEAN, TOXIC = 1, 2
 
 #: Common insults, by language.
 LEXICONS = {
     "en": "asshole bastard bitch clown coward creep cretin crap damn degenerate disgusting dumb dumbass filth fool freak fuck fucking garbage hate hateful idiot idiotic imbecile jerk kill loser lowlife moron moronic pathetic pig psycho retard scum scumbag shit shitty slut stupid trash twat vermin whore worthless",
     "de": "abschaum arschloch bastard blödmann depp dreck dumm dummkopf fotze hurensohn idiot miststück penner scheiße schlampe schwachkopf trottel versager vollidiot wichser",
     "es": "asqueroso basura bastardo cabrón capullo escoria estúpido fracasado gilipollas idiota imbécil inútil maldito mierda patético payaso pendejo perdedor puta tonto",
-    "fr": "abruti bâtard connard connasse con crétin débile déchet enculé idiot imbécile merde minable ordure pathétique perdant pute salaud salope stupide",
+    "fr": "abruti bâtard connard connasse crétin débile déchet enculé idiot imbécile merde minable ordure pathétique perdant pute salaud salope stupide",
 }
 PATTERNS = {"you": r"\b(you|your|du|tu|vous|eres)\b.{0,40}\b(idiot\w*|stupid\w*|moron|loser|trash|pathetic|worthless|scum)\b", "leet": r"\b(sh[i1!]t|f[u*]ck\w*|b[i1!]tch|a[s$]{2}hole|st[u*]p[i1!]d)\b", "shouting": r"!{3,}"}
 WORD = r"\w+"
@@ -94,32 +97,38 @@ def _counts(rows: DataFrame) -> pd.DataFrame:
     return pd.DataFrame([r.asDict() for r in best.collect()], columns=["feature", "pos", "neg", "odds", "ratio"])
 
 
-def voters(mined: pd.DataFrame) -> list[tuple[str, object]]:
-    """(name, set of features or pattern): a text with any of the features, or that matches, gets the vote toxic."""
-    out: list[tuple[str, object]] = [(f"lexicon {lang}", frozenset(x.split())) for lang, x in LEXICONS.items()]
-    out += [(f"pattern {k}", re.compile(x, re.I | re.S)) for k, x in PATTERNS.items()]
-    groups: dict[str, set] = {}
-    for f, ratio, odds in zip(mined["feature"], mined["ratio"], mined["odds"], strict=True):
-        if odds > 2.5 and ratio >= LEXICON_RATIO:
-            kind = "end" if f[0] == "*" else "beginning" if "*" in f else "word"
-            groups.setdefault(f"mined {kind} {zlib.crc32(f.encode()) % 3}", set()).add(f)
-    return out + [(k, frozenset(v)) for k, v in sorted(groups.items())]
+def voters(mined: pd.DataFrame) -> list[tuple[str, int, object]]:
+    """(name, vote, set of features or pattern): a text with any of the features, or that matches, gets the vote."""
+    out: list[tuple[str, int, object]] = [(f"lexicon {lang}", TOXIC, frozenset(x.split())) for lang, x in LEXICONS.items()]
+    out += [(f"pattern {k}", TOXIC, re.compile(x, re.I | re.S)) for k, x in PATTERNS.items()]
+    groups: dict[tuple[str, int], set] = {}
+    for f, odds in zip(mined["feature"], mined["odds"], strict=True):
+        if abs(odds) > LEXICON_ODDS:
+            kind, vote = "end" if f[0] == "*" else "beginning" if "*" in f else "word", TOXIC if odds > 0 else CLEAN
+            groups.setdefault((f"mined {'toxic' if vote == TOXIC else 'clean'} {kind} {min(int(abs(odds)), 5)}", vote), set()).add(f)
+    return out + [(k, vote, frozenset(v)) for (k, vote), v in sorted(groups.items())]
 
 
 def votes(text: str, found: set[str], panel) -> list[int]:
-    """2 toxic, 1 clean, 0 nothing; the last voter says clean of texts with words of which no other says anything."""
-    out = [2 * bool(not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text)) for _, x in panel]
-    return [*out, int(bool(found) and not any(out))]
+    """2 toxic, 1 clean, 0 nothing; the last voter says clean of texts with words of which no other says toxic."""
+    out = [vote * bool(not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text)) for _, vote, x in panel]
+    return [*out, int(bool(found) and TOXIC not in out)]
+
+
+def majority(v: np.ndarray) -> np.ndarray:
+    """First guesses of P(toxic): the share of toxic ones among the votes cast, with half a vote for either class."""
+    toxic, clean = (v == TOXIC).sum(1), (v == CLEAN).sum(1)
+    return (toxic + 0.5) / (toxic + clean + 1)
 
 
 class LabelModel:
     """P(y) and P(vote | y, vote of the parent), by expectation maximisation; the parents form a tree."""
 
-    def __init__(self, rounds: int = 12, smooth: float = 0.5):
-        self.rounds, self.smooth = rounds, smooth
+    def __init__(self, share: float, rounds: int = 60, smooth: float = 0.5, belief: float = 0.05):
+        """belief: so many of its votes a voter is taken to have cast rightly beforehand; without it, voters that always agree say nothing of the class."""
+        self.prior, self.rounds, self.smooth, self.belief = np.array([1 - share, share]), rounds, smooth, belief
 
     def _tables(self, v: np.ndarray, w: np.ndarray) -> None:
-        self.prior = (w.sum(0) + 1) / (w.sum() + 2)
         m = v.shape[1]
         hot = [np.stack([v[:, j] == x for x in range(3)], 1).astype(float) for j in range(m)]
         link = np.full((m, m), -1.0)
@@ -139,14 +148,14 @@ class LabelModel:
         for i in range(m):
             j = parent[i]
             t = np.stack([(hot[i] * w[:, [y]]).sum(0) for y in (0, 1)])[:, None, :] if j < 0 else np.stack([(pair[i, j][y].T if i > j else pair[j, i][y]) for y in (0, 1)])
+            for y in (0, 1):
+                t[y, :, y + 1] += self.belief * t[:, :, y + 1].sum(0)
             t = t + self.smooth
             self.table.append(t / t.sum(2, keepdims=True))  # y, vote of the parent, vote
 
-    def posterior(self, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        """P(class) of each row, from its votes and, if there is one, its label."""
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """P(class) of each row, from its votes."""
         log = np.tile(np.log(self.prior), (len(v), 1))
-        if label is not None:
-            log += np.log(np.where(label[:, None] == np.arange(2), LABELS_RIGHT, 1 - LABELS_RIGHT))
         for i, t in enumerate(self.table):
             says = np.log(t[:, v[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(v), int), v[:, i]]).T
             log += np.where(v[:, [i]] > 0, says, 0)  # saying nothing is no evidence
@@ -154,14 +163,16 @@ class LabelModel:
         p = np.exp(log)
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, v: np.ndarray, start: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None) -> LabelModel:
-        """start: first guesses of P(toxic)."""
-        p = np.stack([1 - start, start], 1)
+    def fit(self, v: np.ndarray, weight: np.ndarray) -> LabelModel:
+        p = majority(v)
+        p = np.stack([1 - p, p], 1)
         for _ in range(self.rounds):
             self._tables(v, p * weight[:, None])
-            p = self.posterior(v, label)
-        # of the votes that were cast in a class, the share that names it
-        self.accuracy = [[float(((v[:, j] == y + 1) * p[:, y] * weight).sum() / max(1e-9, ((v[:, j] > 0) * p[:, y] * weight).sum())) for y in (0, 1)] for j in range(v.shape[1])]
+            p = self.posterior(v)
+        # the probability that a vote that was cast is right, and how much of each class the voter speaks on
+        cast = [(v[:, j] > 0) * weight for j in range(v.shape[1])]
+        self.accuracy = [float((c * p[np.arange(len(v)), np.maximum(v[:, j], 1) - 1]).sum() / max(1e-9, c.sum())) for j, c in enumerate(cast)]
+        self.coverage = [[float((c * p[:, y]).sum() / max(1e-9, (weight * p[:, y]).sum())) for y in (0, 1)] for c in cast]
         return self
 
 
@@ -234,15 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     v = np.array([r["votes"] for r in seen], dtype=int)
     rate = np.array([1 - share, share]) / np.maximum(np.bincount(y, minlength=2) / len(y), 1e-9)
     weight = rate[y] / rate[y].mean()
-    model = LabelModel().fit(v, np.where(y == 1, 0.9, 0.1), weight, y)
-    posterior = model.posterior(v, y)[:, 1]
+    model = LabelModel(share).fit(v, weight)
+    posterior = model.posterior(v)[:, 1]
     x = np.zeros((len(seen), len(index)), dtype=np.float32)
     for k, r in enumerate(seen):
         x[k, r["at"]] = 1
     chosen = distinct(x, mined)
     w, b = logistic(x[:, chosen], posterior, weight)
     named = [mined["feature"].iloc[k] for k in chosen]
-    return {"weights": {f: float(v) for f, v in zip(named, w, strict=True) if abs(v) > 1e-6}, "intercept": b, "voters": [*(n for n, _ in panel), "quiet"], "accuracy": model.accuracy, "parents": model.parent, "share": share}
+    return {"weights": {f: float(v) for f, v in zip(named, w, strict=True) if abs(v) > 1e-6}, "intercept": b, "voters": [*(n for n, *_ in panel), "quiet"], "accuracy": model.accuracy, "coverage": model.coverage, "posteriors_right": float(((posterior >= 0.5) == (y == 1)).mean()), "parents": model.parent, "share": share}
 
 
 def scorer(spark, model: dict):
@@ -275,6 +286,6 @@ def scorer(spark, model: dict):
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score", id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one more column, which must not be one of theirs."""
-    if name in docs.columns:
+    if name.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"documents have a column {name}")
     return docs.withColumn(name, scorer(docs.sparkSession, fit(docs, labels, id_col, text))(text_or_empty(text)))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from caslake.llm import toxicity as T
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,11 +51,26 @@ def test_label_model_recovers_accuracies_and_a_correlated_pair():
     say = lambda right: np.where(r.random(len(y)) < right, y, ~y)
     v = np.stack([say(0.95), say(0.9), say(0.8), say(0.85)], 1)
     v = np.concatenate([v, np.where(r.random(len(y)) < 0.97, v[:, 2], ~v[:, 2])[:, None]], 1) + 1
-    start = np.where(v[:, 0] == 2, 0.8, 0.2)
-    label = np.where(r.random(len(y)) < 0.99, y, ~y).astype(int)
-    m = T.LabelModel().fit(v, start, np.ones(len(y)), label)
-    assert abs(m.prior[1] - 0.3) < 0.03
-    assert 2 in (m.parent[4], 4) and (m.parent[4] == 2 or m.parent[2] == 4)
-    assert abs(m.accuracy[0][0] - 0.95) < 0.04 and abs(m.accuracy[1][1] - 0.9) < 0.05
+    m = T.LabelModel(0.3).fit(v, np.ones(len(y)))
+    assert m.parent[4] == 2 or m.parent[2] == 4
+    assert abs(m.accuracy[0] - 0.95) < 0.04 and abs(m.accuracy[1] - 0.9) < 0.05 and abs(m.accuracy[2] - 0.8) < 0.06
     assert ((m.posterior(v)[:, 1] > 0.5) == y).mean() > 0.95
-    assert ((m.posterior(v, label)[:, 1] > 0.5) == y).mean() > 0.98
+
+
+def test_posteriors_follow_the_votes_and_not_the_labels(spark):
+    # every tenth label is wrong: the votes outvote it, so the posteriors agree with the truth and not with the labels
+    truth = {k: int(k % 3 == 0) for k in range(900)}
+    labels = [(k, 1 - y if k % 10 == 7 else y) for k, y in truth.items()]
+    insults = ["idiot", "moron", "scum", "vexword", "grobian", "trottel", "depp", "imbécile"]
+    text = lambda k: f"plain words of text number {k % 7} " + (f"{insults[k % 8]} and {insults[k // 8 % 8]}" if truth[k] else "calm seas")
+    docs = spark.createDataFrame([(k, text(k), "en", "s", 1) for k in truth], SCHEMA)
+    got = {r.doc_id: r.p > 0.5 for r in T.scored(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "p").collect()}
+    assert np.mean([got[k] == bool(y) for k, y in truth.items()]) > 0.99
+
+
+def test_a_name_that_differs_in_case_only_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a", 7.0)], "doc_id long, text string, SCORE double")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    with pytest.raises(ValueError, match="score"):
+        T.scored(docs, none)
+    assert T.scored(docs, none, "p").first().SCORE == 7.0
