@@ -98,9 +98,52 @@ def _sequential(on_conflict: str):
     return fold
 
 
+def _edges(log: DataFrame) -> DataFrame:
+    return log.where((F.col("kind") == "file_moved") & (F.col("from_path") != F.col("to_path"))).select("from_path", "to_path")
+
+
+def _named(on_conflict: str):
+    def name(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, int] = {}
+        out = []
+        for e in rows.sort_values("seq").to_dict("records"):
+            kind, path = e["kind"], e["path"]
+            if kind in CONTENT_KINDS:
+                out.append((e["seq"], held.setdefault(path, e["seq"])))
+            elif kind == "file_deleted":
+                out.append((e["seq"], held.get(path)))
+            else:
+                a, b = e["from_path"], e["to_path"]
+                out.append((e["seq"], held.get(a)))
+                if a in held and a != b:
+                    if b not in held:
+                        held[b] = held.pop(a)
+                    elif on_conflict == "raise":
+                        raise ProjectionConflict(f"event {e['seq']} moves {a} onto {b}, which exists")
+        return pd.DataFrame(out, columns=["seq", "file_id"]).astype({"seq": "int64", "file_id": "Int64"})
+
+    return name
+
+
+def event_ids(log: DataFrame, moves: bool | None = None, on_conflict: str = "raise") -> DataFrame:
+    """(seq, file_id) of file events: the row that each finds at its path, or that it makes; of a move, the row that it moves. Null if there is none. As in file_states, only the paths that moves link are taken one event after the other."""
+    edges = _edges(log)
+    if moves is None:
+        moves = not edges.isEmpty()
+    rows = log.where(F.col("kind").isin(*CONTENT_KINDS, "file_deleted", "file_moved")).withColumn("path", F.coalesce("path", "from_path"))
+    parts = components(edges) if moves else None
+    plain = rows.join(parts, "path", "left_anti") if moves else rows
+    first = plain.groupBy("path").agg(_first(CONTENT_KINDS).alias("file_id"))
+    ids = plain.select("seq", "path").join(first, "path").select("seq", F.when(F.col("file_id") <= F.col("seq"), F.col("file_id")).alias("file_id"))
+    if not moves:
+        return ids
+    tied = rows.join(parts, "path").select("root", "seq", "kind", "path", "from_path", "to_path")
+    return ids.unionByName(tied.groupBy("root").applyInPandas(_named(on_conflict), "seq long, file_id long"))
+
+
 def file_states(log: DataFrame, moves: bool | None = None, on_conflict: str = "raise") -> DataFrame:
     """Files with their chunks. moves: whether the log has moves; if not said, the log is asked. on_conflict: 'raise' or 'skip'."""
-    edges = log.where((F.col("kind") == "file_moved") & (F.col("from_path") != F.col("to_path"))).select("from_path", "to_path")
+    edges = _edges(log)
     if moves is None:
         moves = not edges.isEmpty()
     if not moves:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.paths import ancestors
 from ..functions.text import location_topic, scan_topic
 from ..schemas import CONTENT_KINDS
+from .fold import event_ids
 
 MOST_BROADCAST = 100_000
 
@@ -46,16 +47,11 @@ def owners(events: DataFrame, spans: DataFrame, path: str, name: str) -> DataFra
     return found.groupBy("seq").agg(F.max_by("location_id", F.length("location")).alias(name))
 
 
-def file_ids(log: DataFrame) -> DataFrame:
-    """(path, file_id): of logs without moves, the row that a path has from its first content event on."""
-    return log.where(F.col("kind").isin(*CONTENT_KINDS)).groupBy("path").agg(F.min("seq").alias("file_id"))
-
-
-def file_feed(log: DataFrame) -> DataFrame:
-    """topic, kind, path, file_id, location_id, seq of file events with an owner; others are dropped. For logs without moves."""
+def file_feed(log: DataFrame, moves: bool | None = None) -> DataFrame:
+    """topic, kind, path, file_id, location_id, seq of file events with an owner; others are dropped. Ids follow moves."""
     rows = log.where(F.col("kind").isin(*CONTENT_KINDS, "file_deleted")).select("seq", "path", F.substring("kind", 6, 20).alias("kind"))
     owned = rows.join(owners(rows, intervals(log), "path", "location_id"), "seq")
-    named = owned.join(file_ids(log), "path", "left").withColumn("file_id", F.when(F.col("file_id") <= F.col("seq"), F.col("file_id")))
+    named = owned.join(event_ids(log, moves), "seq", "left")
     return named.select(location_topic(F.col("location_id")).alias("topic"), "kind", "path", "file_id", "location_id", "seq")
 
 
@@ -67,8 +63,8 @@ def move_feed(log: DataFrame) -> DataFrame:
     entry = lambda kind, path, loc: F.struct(F.lit(kind).alias("kind"), F.col(path).alias("path"), F.col(loc).alias("location_id"))
     arrives, leaves = entry("moved_in", "to_path", "in_id"), entry("moved_out", "from_path", "out_id")
     sent = F.when(F.col("out_id") == F.col("in_id"), F.array(arrives)).otherwise(F.filter(F.array(leaves, arrives), lambda x: x["location_id"].isNotNull()))
-    out = both.select("seq", F.explode(sent).alias("x"))
-    return out.select(location_topic(F.col("x.location_id")).alias("topic"), "x.kind", "x.path", "x.location_id", "seq")
+    out = both.join(event_ids(log), "seq", "left").select("seq", "file_id", F.explode(sent).alias("x"))
+    return out.select(location_topic(F.col("x.location_id")).alias("topic"), "x.kind", "x.path", "file_id", "x.location_id", "seq")
 
 
 def _known(rows: DataFrame, log: DataFrame) -> DataFrame:

@@ -492,11 +492,14 @@ def fold_locations(spark, sf):
     return fold.locations(V.log(spark, sf)).withColumn("ignore_patterns", F.array_join("ignore_patterns", "|"))
 
 
-@register(f"WITH {STATES.replace('FROM (SELECT *, CASE event_type', 'FROM (SELECT * FROM (SELECT *, CASE event_type').replace('END AS kind FROM events)),', 'END AS kind FROM events) WHERE event_id < 800)),')} SELECT id, path, size, deleted_at_us, (SELECT max(seq) FROM log) AS last_applied_seq FROM states")
+@register(f"WITH {STATES} SELECT id, path, size, deleted_at_us, (SELECT max(seq) FROM log) AS last_applied_seq FROM states")
 def fold_catch_up_to(spark, sf):
-    log = fold.until(V.log(spark, sf), 0, 800)
-    out = fold.files(fold.file_states(log)).select("id", "path", "size", "deleted_at_us")
-    return out.withColumn("one_", F.lit(1)).join(fold.checkpoint(log).withColumn("one_", F.lit(1)), "one_").drop("one_")
+    """The first half of the log is folded to a checkpoint; the rest is applied to it."""
+    log = V.log(spark, sf)
+    head = logs.head(log).first()["head"]
+    before = fold.file_states(fold.until(log, 0, head // 2), moves=False).withColumn("last_seq", F.lit(head // 2))
+    out = fold.files(live.advance(before, fold.until(log, head // 2, head), head)).select("id", "path", "size", "deleted_at_us")
+    return out.withColumn("last_applied_seq", F.lit(head))
 
 
 # --- change feed
@@ -584,12 +587,29 @@ def _checkpoints(spark):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="caslake-"))
 
 
-@register()
+MOVED = f"""{V.LOG.replace("log AS (", "still AS (", 1).replace("FROM log l,", "FROM still l,")}, log AS (
+        SELECT * REPLACE (CASE WHEN moves THEN 'file_moved' ELSE kind END AS kind, CASE WHEN moves THEN NULL ELSE path END AS path),
+            CASE WHEN moves THEN path || '/f' || (CAST(split_part(path, '/', -1) AS INT) + 17) END AS from_path, CASE WHEN moves THEN '/u/' || (seq % 17) || '/m' || seq END AS to_path
+        FROM (SELECT *, kind = 'location_scan_progress' AND seq % 5 = 0 AS moves FROM still)),
+    spots AS (SELECT seq, kind, "at", size, mtime_us, root_hash, coalesce(path, from_path) AS spot, to_path,
+            count(*) FILTER (kind = 'file_moved') OVER (PARTITION BY coalesce(path, from_path) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part
+        FROM log WHERE kind IN ('file_indexed', 'file_modified', 'file_deleted', 'file_moved')),
+    made AS (SELECT spot, part, min(seq) AS id, max(seq) AS last FROM spots WHERE kind IN ('file_indexed', 'file_modified') GROUP BY 1, 2),
+    ends AS (SELECT spot, part, max(to_path) FILTER (kind = 'file_moved') AS target, max(seq) FILTER (kind = 'file_deleted') AS gone FROM spots GROUP BY 1, 2)"""
+
+
+@register(f"""WITH {MOVED} SELECT m.id, coalesce(e.target, m.spot) AS path, l.size, l.mtime_us, l.root_hash, (SELECT "at" FROM log d WHERE d.seq = e.gone AND e.gone > m.last) AS deleted_at_us, l."at" AS indexed_at_us
+    FROM made m JOIN ends e USING (spot, part) JOIN log l ON l.seq = m.last""")
 def fold_with_moves(spark, sf):
     _checkpoints(spark)
     return _hex(fold.files(fold.file_states(moving_log(spark, sf))), "root_hash")
 
 
-@register()
+@register(f"""WITH {MOVED}, {SPANS}, moved AS (SELECT s.seq, s.spot, s.to_path, m.id AS file_id FROM spots s LEFT JOIN made m ON m.spot = s.spot AND m.part = s.part WHERE s.kind = 'file_moved'),
+    owned AS (SELECT *, (SELECT arg_max(s.location_id, length(s.location)) FROM spans s WHERE s.start <= m.seq AND m.seq < s."end" AND (m.spot = s.location OR starts_with(m.spot, s.location || '/'))) AS a,
+        (SELECT arg_max(s.location_id, length(s.location)) FROM spans s WHERE s.start <= m.seq AND m.seq < s."end" AND (m.to_path = s.location OR starts_with(m.to_path, s.location || '/'))) AS b FROM moved m)
+    SELECT 'location:' || b AS topic, 'moved_in' AS kind, to_path AS path, file_id, b AS location_id, seq FROM owned WHERE b IS NOT NULL
+    UNION ALL SELECT 'location:' || a, 'moved_out', spot, file_id, a, seq FROM owned WHERE a IS NOT NULL AND a IS DISTINCT FROM b""")
 def move_feed(spark, sf):
+    _checkpoints(spark)
     return routing.move_feed(moving_log(spark, sf))

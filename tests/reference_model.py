@@ -23,15 +23,16 @@ class Model:
                 self.lengths.setdefault(c["hash"], c["length"])
         elif kind == "file_moved":
             f = self.files.get(e["from_path"])
+            own = f["id"] if f else None
             if f and e["from_path"] != e["to_path"]:
                 assert e["to_path"] not in self.files
                 del self.files[e["from_path"]]
                 self.files[e["to_path"]] = f | {"path": e["to_path"]}
             a, b = self.owner(e["from_path"]), self.owner(e["to_path"])
             if a is not None and a == b:
-                self.feed.append((f"location:{a}", "moved_in", e["to_path"], a, seq))
+                self.feed.append((f"location:{a}", "moved_in", e["to_path"], own, a, seq))
             else:
-                self.feed += [(f"location:{x}", k, p, x, seq) for k, p, x in (("moved_out", e["from_path"], a), ("moved_in", e["to_path"], b)) if x is not None]
+                self.feed += [(f"location:{x}", k, p, own, x, seq) for k, p, x in (("moved_out", e["from_path"], a), ("moved_in", e["to_path"], b)) if x is not None]
         elif kind == "file_deleted":
             if path in self.files:
                 self.files[path] |= {"deleted_at_us": at, "chunks": []}
@@ -45,7 +46,7 @@ class Model:
         if kind in ("file_indexed", "file_modified", "file_deleted"):
             x = self.owner(path)
             if x is not None:
-                self.feed.append((f"location:{x}", kind[5:], path, x, seq))
+                self.feed.append((f"location:{x}", kind[5:], path, self.files[path]["id"] if path in self.files else None, x, seq))
 
     def references(self):
         n = dict.fromkeys(self.lengths, 0)

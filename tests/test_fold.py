@@ -36,8 +36,11 @@ def test_fold_and_feed_without_moves(spark, seed):
     events, model = random_log(random.Random(seed), 250, moves=False)
     log = frame(spark, events)
     same(spark, log, model)
-    feed = routing.file_feed(log)
-    assert sorted((r.topic, r.kind, r.path, r.location_id, r.seq) for r in feed.collect()) == sorted(x for x in model.feed)
+    assert sent(routing.file_feed(log)) == sorted(model.feed, key=str)
+
+
+def sent(feed):
+    return sorted(((r.topic, r.kind, r.path, r.file_id, r.location_id, r.seq) for r in feed.collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -45,8 +48,14 @@ def test_fold_and_feed_with_moves(spark, seed):
     events, model = random_log(random.Random(100 + seed), 200, moves=True)
     log = frame(spark, events)
     same(spark, log, model)
-    moves = routing.move_feed(log)
-    assert sorted((r.topic, r.kind, r.path, r.location_id, r.seq) for r in moves.collect()) == sorted(x for x in model.feed if x[1].startswith("moved"))
+    assert sent(routing.move_feed(log)) == sorted((x for x in model.feed if x[1].startswith("moved")), key=str)
+    assert sent(routing.file_feed(log)) == sorted((x for x in model.feed if not x[1].startswith("moved")), key=str)
+
+
+def test_ids_follow_moves(spark):
+    moved = lambda seq, a, b: {"seq": seq, "kind": "file_moved", "at": seq, "v": 1, "from_path": a, "to_path": b}
+    log = frame(spark, [{"seq": 1, "kind": "location_added", "at": 1, "v": 1, "path": "/l"}, content(2, "/l/a"), moved(3, "/l/a", "/l/b"), content(4, "/l/b") | {"kind": "file_modified"}, moved(5, "/l/b", "/l/c"), {"seq": 6, "kind": "file_deleted", "at": 6, "v": 1, "path": "/l/c"}])
+    assert [x[3] for x in sent(routing.file_feed(log))] == [2, 2, 2] and [x[3] for x in sent(routing.move_feed(log))] == [2, 2]
 
 
 def content(seq, path):
