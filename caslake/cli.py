@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import fold, reads
+from .operators import reads
 from .operators.locations import Manager, NotFound
-from .sources import cas
 from .sources.log import EventLog
+from .streaming.watch import Watchers
 
 
 def write_lines(lines) -> None:
@@ -30,8 +30,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = argparse.ArgumentParser(prog="caslake", description="A content-addressed, event-sourced file index on Spark")
     p.add_argument("--data", default=os.path.expanduser("~/.caslake"), help="folder of the log and the store")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, arg, text_ in (("index", "path", "scan a tree and log what is new"), ("find", "term", "files whose path has a term"), ("watch", "path", "add a location and scan it"), ("unwatch", "path", "remove a location")):
-        sub.add_parser(name, help=text_).add_argument(arg)
+    for name, arg, text_ in (("index", "path", "scan a tree and log what is new"), ("find", "term", "files whose path has a term"), ("watch", "path", "add a location, scan it and log its changes until interrupted"), ("unwatch", "path", "remove a location")):
+        one = sub.add_parser(name, help=text_)
+        one.add_argument(arg)
+        if name == "watch":
+            one.add_argument("--once", action="store_true", help="stop after the scan")
     for name, text_ in (("ls", "all live files"), ("locations", "active locations"), ("rebuild-projection", "fold the log anew")):
         sub.add_parser(name, help=text_)
     sub.add_parser("gc", help="drop chunks that nothing refers to").add_argument("--dry-run", action="store_true")
@@ -45,7 +48,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         r = m.index(a.path)
         print(f"new {r['new']}, modified {r['modified']}, unchanged {r['unchanged']}, errors {r['errors']}, {r['bytes']} bytes")
     elif a.command == "watch":
-        print(f"Watching {m.add(a.path)['path']}")
+        if not a.once:
+            Watchers(m, f"{a.data}/watch")
+        try:
+            print(f"Watching {m.add(a.path)['path']}", flush=True)
+            if m.watchers:
+                spark.streams.awaitAnyTermination()
+        except KeyboardInterrupt:
+            pass
+        finally:
+            if m.watchers:
+                m.watchers.close()
     elif a.command == "unwatch":
         try:
             m.remove(a.path)
@@ -65,9 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
         print(f"rebuilt up to {rebuild(log, Snapshots(spark, f'{a.data}/snapshots'))}")
     elif a.command == "gc":
-        events = log.read()
-        counted = cas.reference_counts(fold.chunks_ever(events), fold.file_chunks(fold.file_states(events)))
-        r = cas.ChunkStore(spark, f"{a.data}/store").sweep(counted, a.dry_run)
+        r = m.collect_garbage(a.dry_run)
         size = spark.range(1).select(text.format_bytes(F.lit(r["bytes_reclaimed"]))).first()[0]
         print(f"Scanned:    {r['scanned']} orphan chunks\nRemoved:    {r['removed']}\nReclaimed:  {size}" + "  (dry run)" * a.dry_run)
     return 0

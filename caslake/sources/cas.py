@@ -66,7 +66,7 @@ def dedup_totals(file_chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """A store in a folder; put is idempotent, a sweep rewrites the shards that lose chunks."""
+    """A store in a folder. put is idempotent; a sweep writes what stays of the shards that lose chunks to new files, then deletes the old ones, so that a sweep that dies loses nothing: chunks may be stored twice until the next, and are read once."""
 
     SCHEMA = "hash binary, length long, bytes binary, shard string"
 
@@ -87,30 +87,27 @@ class ChunkStore:
         out.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
 
     def get(self, wanted: DataFrame) -> DataFrame:
-        return fetched(wanted, self.read())
+        found = present(self.read(), wanted.select("hash").distinct()).dropDuplicates(["hash"])
+        return fetched(wanted, found)
+
+    def held(self, chunks: DataFrame) -> DataFrame:
+        """The chunks (hash, ...) whose bytes are stored: what a sweep may count."""
+        return present(chunks, self.read().select("hash").distinct())
 
     def sweep(self, chunks: DataFrame, dry_run: bool = False) -> dict:
-        """Drops the bytes of orphans; the totals."""
+        """Drops the bytes of orphans that are stored; the totals of those, so that a second sweep finds none."""
+        chunks = self.held(chunks)
         totals = sweep_totals(chunks, dry_run).first().asDict()
-        if dry_run or not totals["scanned"] or not self._exists():
+        if dry_run or not totals["scanned"]:
             return totals
         gone = orphans(chunks).select("hash")
-        shards = gone.select(hash_shard(F.col("hash")).alias("shard")).distinct()
-        now = self.read()
-        hit = now.join(shards, "shard", "left_semi")
-        keep = hit.join(gone, "hash", "left_anti")
-        aside = f"{self.path.rstrip('/')}.swept"
-        # shards that lose all chunks are dropped; others are written aside, then swapped in
-        keep.write.mode("overwrite").partitionBy("shard").parquet(aside)
-        emptied = [r["shard"] for r in shards.collect()]  # at most 256
-        fs = self.spark._jvm.org.apache.hadoop.fs
+        shards = [r[0] for r in gone.select(hash_shard(F.col("hash"))).distinct().collect()]  # at most 256
+        hit = self.read().where(F.col("shard").isin(shards))
+        old = [r[0] for r in hit.select(F.input_file_name()).distinct().collect()]  # the names of their files
+        keep = hit.join(gone, "hash", "left_anti").dropDuplicates(["hash"])
+        keep.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        for s in emptied:
-            old, new = fs.Path(f"{self.path}/shard={s}"), fs.Path(f"{aside}/shard={s}")
-            system = old.getFileSystem(conf)
-            system.delete(old, True)
-            if system.exists(new):
-                system.rename(new, old)
-        p = fs.Path(aside)
-        p.getFileSystem(conf).delete(p, True)
+        for name in old:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark._jvm.java.net.URI(name))
+            p.getFileSystem(conf).delete(p, False)
         return totals

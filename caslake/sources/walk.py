@@ -66,7 +66,7 @@ class _Reader(DataSourceReader):
                 break
             deeper = []
             for p in level:
-                if os.path.isdir(p) and not (p != self.root and self.matcher.matches(p[len(self.root.rstrip("/")) + 1 :])):
+                if os.path.isdir(p) and (self.follow or not os.path.islink(p)) and not (p != self.root and self.matcher.matches(p[len(self.root.rstrip("/")) + 1 :])):
                     try:
                         deeper += [os.path.join(p, n) for n in sorted(os.listdir(p))]
                     except OSError:

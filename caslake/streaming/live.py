@@ -1,7 +1,9 @@
 """The live projection: micro-batches of the log folded into versioned snapshots, and what pages do with changes.
 
-A snapshot is a folder of Parquet files named by the last seq it has; a pointer file says which one is current. A batch
-that a restart repeats has no seq past the pointer and is skipped, so each event takes effect once.
+A snapshot is a folder of Parquet files named by the last seq it has; a file DONE, made once all of them are there, makes
+it count. The newest that counts is current, so a crash at any moment leaves the one before. A batch that a restart
+repeats has no seq past the snapshot and is skipped, so each event takes effect once; changes are sent before the
+snapshot counts, so that a crash sends them again rather than never.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ class GapError(RuntimeError):
 
 
 class Snapshots:
-    """Versions v=<seq>/files and v=<seq>/locations under a folder, and CURRENT. The last `keep` stay."""
+    """Versions v=<seq>/files and v=<seq>/locations under a folder, each with a file DONE. The last `keep` stay."""
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
@@ -29,32 +31,31 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
+    def _seqs(self, done: bool = True) -> list[int]:
+        root, fs = self._fs(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and (not done or fs.exists(self._fs(f"{self.path}/{n}/DONE")[0])))
+
     def last(self) -> int:
-        p, fs = self._fs(f"{self.path}/CURRENT")
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if fs.exists(p) else 0
+        return max(self._seqs(), default=0)
 
     def read(self, table: str) -> DataFrame | None:
         seq = self.last()
         return self.spark.read.parquet(f"{self.path}/v={seq}/{table}") if seq else None
 
     def commit(self, seq: int, tables: dict[str, DataFrame]) -> None:
-        """Writes a version, then swaps the pointer by a rename."""
+        """Writes a version, then the file that makes it count."""
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/v={seq}/{name}")
-        new, fs = self._fs(f"{self.path}/CURRENT.new")
-        out = fs.create(new, True)
-        out.write(bytearray(str(seq).encode()))
-        out.close()
-        old, _ = self._fs(f"{self.path}/CURRENT")
-        fs.delete(old, True)
-        fs.rename(new, old)
-        self._prune(fs)
-
-    def _prune(self, fs) -> None:
-        root, _ = self._fs(self.path)
-        seqs = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v="))
-        for s in seqs[: -self.keep]:
-            fs.delete(self._fs(f"{self.path}/v={s}")[0], True)
+        done, fs = self._fs(f"{self.path}/v={seq}/DONE")
+        fs.create(done, True).close()
+        # older versions go, and what a crash left of others below this one
+        kept = self._seqs()[-self.keep :]
+        for s in self._seqs(done=False):
+            if s not in kept and s < seq:
+                fs.delete(self._fs(f"{self.path}/v={s}")[0], True)
 
 
 def as_events(states: DataFrame) -> DataFrame:
@@ -89,9 +90,9 @@ def apply_batch(snapshots: Snapshots, log: DataFrame, batch: DataFrame, on_chang
     seq = bounds["b"]
     states = advance(snapshots.read("files"), new, seq)
     # locations are few events: they are folded from the log, up to this seq
-    snapshots.commit(seq, {"files": states, "locations": fold.locations(fold.until(log, 0, seq))})
     if on_change:
         on_change(new)
+    snapshots.commit(seq, {"files": states, "locations": fold.locations(fold.until(log, 0, seq))})
     return seq
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import inside_any, in_store, normalized
-from ..operators.locations import Manager, hash_files, watched_change
+from ..operators.locations import Manager, watched_change
 from ..sources.walk import TreeSource
 
 
@@ -25,7 +25,7 @@ def log_changes(manager: Manager, rows: DataFrame, mode: str) -> int:
     seen = rows.withColumn("path", normalized(F.col("path"))).where(~inside_any(F.col("path"), manager.internal) & ~in_store(F.col("path")))
     events = watched_change(seen, manager.files()).checkpoint()
     made = events.where(F.col("kind") != "file_deleted")
-    hashes = hash_files(made, mode).where(~F.col("failed")).select("path", "root_hash", "chunks")
+    hashes = manager.read_files(made, mode).where(~F.col("failed")).select("path", "root_hash", "chunks")
     out = made.join(hashes, "path").unionByName(events.where(F.col("kind") == "file_deleted"), allowMissingColumns=True).withColumn("at", F.lit(manager.clock())).withColumn("v", F.lit(1)).checkpoint()
     if n := out.count():
         manager.log.append(out, ["path"])
@@ -39,6 +39,7 @@ class Watchers:
         self.manager, self.checkpoints, self.interval = manager, checkpoints.rstrip("/"), interval
         self._running: dict[str, StreamingQuery] = {}
         manager.spark.dataSource.register(TreeSource)
+        manager.watchers = self
 
     def watching(self) -> list[str]:
         return sorted(p for p, q in self._running.items() if q.isActive)

@@ -3,10 +3,12 @@ import time
 
 import pytest
 from caslake import cli
+from caslake.functions.hashing import blake3
 from caslake.operators import reads
 from caslake.operators.locations import Manager, NotFound, watched_change
 from caslake.sources import cas, walk
 from caslake.sources.log import EventLog
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -80,6 +82,16 @@ def test_content_mode_chunks_and_counts(spark, tmp_path, tree):
     m.index(str(tree / "a"), mode="content")
     counted = cas.reference_counts(fold.chunks_ever(log.read()), fold.file_chunks(fold.file_states(log.read())))
     assert sorted(r.ref_count for r in counted.collect()) == [0, 1, 1, 1]
+    # each chunk is stored, once, under its hash; what is known is not stored again
+    stored = m.store.read().collect()
+    assert sorted(bytes(r.hash) for r in stored) == sorted(blake3(bytes(r.bytes)) for r in stored) and len(stored) == 4
+    m.index(str(tree / "a"), mode="content")
+    assert m.store.read().count() == 4
+    assert m.collect_garbage(dry_run=True) == {"scanned": 1, "removed": 0, "bytes_reclaimed": 90}
+    assert m.collect_garbage()["removed"] == 1 and m.store.read().count() == 3
+    assert m.collect_garbage() == {"scanned": 0, "removed": 0, "bytes_reclaimed": 0}
+    live = fold.file_chunks(fold.file_states(log.read())).select(F.col("chunk_hash").alias("hash"))
+    assert all(r.bytes is not None for r in m.store.get(live).collect())
 
 
 def test_watched_changes(spark, tree):
@@ -109,7 +121,7 @@ def test_stream_of_changes(spark, tmp_path, tree):
 
 def test_command_line(spark, tmp_path, tree, capsys):
     run = lambda *a: cli.main(["--data", str(tmp_path / "d"), *a], spark)
-    assert run("watch", str(tree)) == 0 and run("locations") == 0 and run("ls") == 0 and run("find", "MID") == 0 and run("gc", "--dry-run") == 0 and run("rebuild-projection") == 0
+    assert run("watch", "--once", str(tree)) == 0 and run("locations") == 0 and run("ls") == 0 and run("find", "MID") == 0 and run("gc", "--dry-run") == 0 and run("rebuild-projection") == 0
     out = capsys.readouterr().out
     assert str(tree) in out and f"        70  {tree}/top.txt" in out and out.count("mid.txt") == 2 and "(dry run)" in out
     assert run("unwatch", str(tree)) == 0 and run("unwatch", str(tree)) == 1 and run("index", str(tree / "a")) == 0
@@ -139,7 +151,12 @@ def test_watchers_log_changes(spark, tmp_path, tree):
             time.sleep(0.5)
         rows = {(r.kind, os.path.relpath(r.path, tree)) for r in log.read().where(f"seq > {head}").collect()}
         assert rows == {("file_indexed", "fresh.txt"), ("file_deleted", "a/mid.txt")}
-        w.stop(str(tree))
+        run = w.start(str(tree)).runId
+        m.set_ignore(str(tree), ["*.log"])
+        assert w.watching() == [str(tree)] and w.start(str(tree)).runId != run
+        m.remove(str(tree))
         assert w.watching() == []
+        m.add(str(tree))
+        assert w.watching() == [str(tree)]
     finally:
         w.close()
