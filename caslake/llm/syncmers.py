@@ -2,8 +2,9 @@
 
 A text's k-mers (`K` characters) are anchors if the least of their inner substrings (`S` characters, by hash) lies at
 their beginning or end. Whether a k-mer is one depends on nothing around it, so an anchor that two texts share is found
-in both, with its position. An anchor's name is a hash of the whole k-mer. The fingerprint is the set of all names, about
-a quarter as many as the text has characters; two fingerprints are compared by Jaccard similarity.
+in both, with its position. An anchor's name is a hash of the whole k-mer. The fingerprint has all names, each once, in
+the order of their first positions: about a quarter as many as the text has characters. Two fingerprints are compared as
+sets, by Jaccard similarity.
 
 Substrings are taken from the text in UTF-32, where any position is found at once.
 
@@ -79,15 +80,14 @@ def whole(text: Column) -> Column:
 
 
 def settle(found: Column, text: Column) -> Column:
-    """The sorted names of anchors, or that of the whole text."""
-    out = F.sort_array(F.array_distinct(F.transform(found, lambda a: a.bitwiseAND(F.lit(LOW)))))
+    """The names of anchors, each where it is first found, or that of the whole text."""
+    out = F.array_distinct(F.transform(found, lambda a: a.bitwiseAND(F.lit(LOW))))
     return F.when(F.size(out) > 0, out).otherwise(whole(text))
 
 
 def written(fingerprint: Column) -> Column:
-    """8 hexadecimal digits a name; a ninth before them, which keeps their zeros, is cut from all at once."""
-    digits = F.array_join(F.transform(fingerprint, lambda x: F.hex(x.bitwiseOR(F.lit(2**32)))), "")
-    return F.lower(F.regexp_replace(digits, "1(.{8})", "$1"))
+    """8 hexadecimal digits a name."""
+    return F.lower(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -23,8 +23,8 @@ def hash_wide(t):
 
 def fingerprint(t):
     h = [hash_wide(t[i : i + 5]) for i in range(len(t) - 4)]
-    out = {hash_wide(t[i : i + 12]) & LOW for i in range(len(h) - 7) if min(h[i : i + 8]) in (h[i], h[i + 7])}
-    return sorted(out) or ([hash_text(t) & LOW] if t else [])
+    out = dict.fromkeys(hash_wide(t[i : i + 12]) & LOW for i in range(len(h) - 7) if min(h[i : i + 8]) in (h[i], h[i + 7]))
+    return list(out) or ([hash_text(t) & LOW] if t else [])
 
 
 def like(a, b):
