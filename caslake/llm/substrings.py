@@ -208,24 +208,26 @@ def repeats(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     alive = materialise(_among(seen, grams, "g"), "alive")
     release(seen, grams)
     classes = materialise(alive.groupBy("g", "c").agg(F.count("*").alias("times"), F.min(F.struct("i", "h", "place")).alias("one")), "classes")
-    whole = _among(alive, classes.where(F.col("times") > 1).select("g", "c", "times"), "g", "c").select("i", "h", "place")
+    whole = materialise(_among(alive, classes.where(F.col("times") > 1).select("g", "c", "times"), "g", "c").select("i", "h", "place"), "whole")
+    release(alive)
     unlike = materialise(_often(classes, "g"), "unlike")
     ones = _among(classes, unlike, "g").select("one.i", "one.h", "one.place", "g", F.col("times").alias("n"))
     todo = ones.groupBy("i", "h").agg(F.collect_list(F.struct("place", "g", "n")).alias("todo"))
     pieces = materialise(_join(base, todo, "inner", "i", "h").select("i", "h", "text", "todo").mapInArrow(_pieces, "i long, h long, run long, g long, n long, raw binary"), "pieces")
-    release(unlike)
+    release(unlike, classes)
     parts = materialise(pieces.mapInArrow(_part_rows, "i long, h long, run long, place long, g long, full long, core long, n long"), "parts")
     # one part stands for all of its rank, whose windows are known to repeat if it has several members
     kinds = materialise(parts.groupBy("g", "core", "full").agg(F.min(F.struct("i", "h", "run", "place", "n")).alias("one"), F.count("*").alias("times")), "kinds")
-    equal = _among(parts.where(F.col("n") == 1), kinds.where(F.col("times") > 1).select("g", "core", "full", "times"), "g", "core", "full").select("i", "h", "place")
+    equal = materialise(_among(parts.where(F.col("n") == 1), kinds.where(F.col("times") > 1).select("g", "core", "full", "times"), "g", "core", "full").select("i", "h", "place"), "equal")
+    release(parts)
     near = materialise(_often(kinds, "g", "core"), "near")
     rest = _among(kinds, near, "g", "core").select("one.i", "one.h", "one.run", "one.place", "g", F.when(F.col("times") > 1, F.lit(2)).otherwise(F.col("one.n")).cast("long").alias("n"))
     lists = rest.groupBy("i", "h", "run").agg(F.collect_list(F.struct("place", "g", "n")).alias("todo"))
     single = materialise(_join(pieces.select("i", "h", "run", "raw"), lists, "inner", "i", "h", "run").select("i", "h", "run", "raw", "todo").mapInArrow(_window_rows, "i long, h long, place long, g long, w long, n long"), "windows")
-    release(pieces, near)
+    release(pieces, near, kinds)
     ranked = materialise(_often(single, "g", "w"), "ranked")
     last = _among(single.where(F.col("n") == 1), ranked, "g", "w").select("i", "h", "place")
-    return whole.unionByName(equal).unionByName(last), [alive, classes, parts, kinds, single, ranked]
+    return whole.unionByName(equal).unionByName(last), [whole, equal, single, ranked]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
