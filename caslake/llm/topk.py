@@ -1,9 +1,11 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merging.
 
-Queries are taken in blocks of bounded bytes. For each block, every partition of the vectors is a stream of tiles;
-a tile is multiplied with the block in one matrix product, the k best of each query are selected from the product and
-merged with the task's running lists, so a task sends at most k rows a query. The lists of all tasks then meet in a
-tree: first the k best within each of `fan` groups of tasks, then the k best of the groups. Spark's limit on ranked
+Queries are taken in blocks of bounded bytes, and the vectors in shards that are streams of tiles. A tile is multiplied
+with a block in matrix products of bounded size, the k best of each query are selected from each product and merged with
+the running lists of block and shard, so that these send at most k rows a query. If the queries are one block, which is
+counted first, it is broadcast and each partition is a shard. Beyond that nothing goes through the driver: blocks and
+shards of bounded bytes are dealt to the cells of a grid, and each cell has one block and one shard. All lists then meet in a
+tree: first the k best within each of `fan` groups of lists, then the k best of the groups. Spark's limit on ranked
 windows keeps only k rows a query before each shuffle, so that no task gets more than k rows of a query from another.
 
 Defined cases: null vectors, and vectors that hold null, NaN or infinite components, take no part; nor do rows with a
@@ -20,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCHEMA = "query_id long, vec_id long, score long, shard int"
+ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int32())])
 
 
 def quantised(x: Column) -> Column:
@@ -71,76 +75,94 @@ def _order(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
 NONE = np.iinfo(np.int64).max
 
 
+#: Scores that a matrix product has at most, unless the tile alone has more.
+PRODUCT = 2 << 20
+
+
+def _matrices(ids: np.ndarray, vecs: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the vectors of each length."""
+    dims = np.asarray(pc.list_value_length(vecs), dtype=np.int64)
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == d)
+        yield ids[at], np.asarray(vecs.take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), d)
+
+
 def _search(blocks: dict, k: int, tile: int):
     """blocks: by vector length, (query ids, query matrix)."""
 
-    def tiles(ids: np.ndarray, batch: pa.Array, dims: np.ndarray):
-        for d in np.unique(dims):
-            if int(d) not in blocks:
-                continue
-            at = np.flatnonzero(dims == d)
-            for a in range(0, len(at), tile):
-                part = at[a : a + tile]
-                rows = batch.take(pa.array(part))
-                yield int(d), ids[part], np.asarray(rows.flatten(), dtype=np.float64).reshape(len(part), int(d))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = {d: (np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)) for d, (q, _) in blocks.items()}
+        step = max(1, PRODUCT // tile)
+        held = {d: (np.full((len(q), k), np.iinfo(np.int64).min), np.full((len(q), k), NONE)) for d, (q, _) in blocks.items()}
         for batch in batches:
             ids, vecs = np.asarray(batch.column(0), dtype=np.int64), batch.column(1)
-            dims = np.asarray(pa.compute.list_value_length(vecs), dtype=np.int64)
-            for d, own, v in tiles(ids, vecs, dims):
-                qid, q = blocks[d]
-                s = _products(q, v)
-                i = np.broadcast_to(own, s.shape)
-                mine = i == qid[:, None]
-                if mine.any():
-                    s, i = np.where(mine, np.iinfo(np.int64).min, s), np.where(mine, NONE, i)
-                s, i = best(s, i, k)
-                a, b = held[d]
-                s, i = np.concatenate([a, s], axis=1), np.concatenate([b, i], axis=1)
-                order = _order(s, i)
-                s, i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
-                held[d] = s[:, :k], i[:, :k]
+            for a in range(0, len(ids), tile):
+                for own, v in _matrices(ids[a : a + tile], vecs.slice(a, tile)):
+                    if v.shape[1] not in blocks:
+                        continue
+                    qid, q = blocks[v.shape[1]]
+                    scores, found = held[v.shape[1]]
+                    for c in range(0, len(qid), step):
+                        part = slice(c, c + step)
+                        s = _products(q[part], v)
+                        i = np.broadcast_to(own, s.shape)
+                        mine = i == qid[part, None]
+                        if mine.any():
+                            s, i = np.where(mine, np.iinfo(np.int64).min, s), np.where(mine, NONE, i)
+                        s, i = best(s, i, k)
+                        s, i = np.concatenate([scores[part], s], axis=1), np.concatenate([found[part], i], axis=1)
+                        scores[part], found[part] = best(s, i, k)
         shard = TaskContext.get().partitionId() if TaskContext.get() else 0
         for d, (s, i) in held.items():
             row, col = np.nonzero(i != NONE)
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks[d][0][row]), pa.array(i[row, col]), pa.array(s[row, col]), pa.array(np.full(len(row), shard, np.int32))], names=["query_id", "vec_id", "score", "shard"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[d][0][row]), pa.array(i[row, col]), pa.array(s[row, col]), pa.array(np.full(len(row), shard, np.int32))], schema=ARROW)
 
     return run
 
 
+def _grid(rows: DataFrame, queries: DataFrame, blocks: int, shards: int, k: int, tile: int) -> DataFrame:
+    """The lists of each block in each shard; both sides are dealt evenly, however often an id is repeated."""
+    # a cogroup mixes up columns of both sides that are the same, so the ids of queries get another name
+    left = queries.select(F.col("i").alias("query_id"), F.col("v").alias("query")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # such tables lack columns
+            return ARROW.empty_table()
+        block = {v.shape[1]: (ids, v) for b in left.select(["query_id", "query"]).combine_chunks().to_batches() for ids, v in _matrices(np.asarray(b.column(0), dtype=np.int64), b.column(1))}
+        return pa.Table.from_batches(_search(block, k, tile)(right.select(["i", "v"]).to_batches()), schema=ARROW)
+
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(cell, SCHEMA)
+
+
 def _top(rows: DataFrame, k: int, *by: str) -> DataFrame:
     w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), F.asc("vec_id"))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 8 << 20, tile: int = 2048, fan: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score. is_query: a condition on the id column. block_bytes bounds what is broadcast at once: at most so many bytes of queries, whose lists a task holds too."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = 8 << 20, tile: int = 2048, fan: int = 16, cell_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score. is_query: a condition on the id column. block_bytes bounds what is broadcast; cell_bytes, beyond that, is about what a block and a shard of the grid have each."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), quantised(F.col(vector_col)).alias("v"), is_query.alias("q")).where(F.col("i").isNotNull() & F.col("v").isNotNull())
     queries = rows.where(F.col("q")).groupBy("i").agg(F.min("v").alias("v"))
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    per = max(1, block_bytes // (8 * max(1, size["d"] or 1)))
-    n = -(-size["n"] // per)
-    out = None
-    cut = queries.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(max(1, n))).cast("int"))
-    for b in range(n):  # by bounded blocks: the driver holds one at a time
-        block: dict = {}
-        for r in cut.where(F.col("b") == b).orderBy("i").select("i", "v").toLocalIterator():
-            block.setdefault(len(r["v"]), []).append((r["i"], r["v"]))
-        held = {d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.float64).reshape(len(x), d)) for d, x in block.items()}
-        shared = spark.sparkContext.broadcast(held)
-
-        def run(batches, shared=shared):
+    size = rows.agg(F.count("*").alias("rows"), F.count_if(F.coalesce("q", F.lit(False))).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = 8 * max(1, size["d"])
+    if size["n"] * width <= block_bytes:
+        held: dict = {}
+        for r in queries.collect():  # at most block_bytes, as counted
+            held.setdefault(len(r["v"]), []).append((r["i"], r["v"]))
+        block = {d: (np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.float64).reshape(len(x), d)) for d, x in held.items()}
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _search(shared.value, k, tile)(batches)
 
-        part = rows.select("i", "v").mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], SCHEMA)
+        out = rows.select("i", "v").mapInArrow(run, SCHEMA)
+    else:
+        out = _grid(rows.select("i", "v"), queries, -(-size["n"] * width // cell_bytes), -(-size["rows"] * width // cell_bytes), k, tile)
     lists = _top(out.withColumn("node", F.col("shard") % fan), k, "node").drop("rank", "node")
     return _top(lists, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -36,10 +36,26 @@ def test_against_brute_force(spark):
     assert want
 
 
-def test_small_blocks_and_tiles_give_the_same(spark):
+def test_small_tiles_and_products_give_the_same(spark, monkeypatch):
     r = np.random.default_rng(2)
     rows = [(k, [float(x) for x in r.normal(size=4)]) for k in range(500)]
-    assert run(spark, rows, block_bytes=64, tile=3, fan=2) == run(spark, rows) == brute(rows)
+    want = brute(rows)
+    assert run(spark, rows) == want and run(spark, rows, tile=3, fan=2) == want
+    monkeypatch.setattr(K, "PRODUCT", 6)
+    block = {4: (np.array([i for i, _ in rows if i % 50 == 0]), np.floor(256 * np.array([v for i, v in rows if i % 50 == 0], dtype=np.float32).astype(float)))}
+    vecs = K.pa.array([np.floor(256 * np.array(v, dtype=np.float32).astype(float)) for _, v in rows])
+    lists = K.pa.Table.from_batches(K._search(block, 5, 3)([K.pa.RecordBatch.from_arrays([K.pa.array([i for i, _ in rows]), vecs], names=["i", "v"])]))
+    assert sorted(zip(*(lists[c].to_pylist() for c in ("query_id", "vec_id", "score")), strict=True)) == sorted((q, i, s) for q, _, i, s in want)
+
+
+def test_a_grid_of_blocks_and_shards_gives_the_same(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in np.round(r.normal(size=4), 1)]) for k in range(500)]
+    rows += [(50, rows[50][1])] * 300 + [(1050, [1.0, 2.0]), (1051, [2.0, 2.0]), (1150, []), (1151, None), (None, [1.0] * 4), (1152, [float("nan")] * 4)]
+    want = brute(rows)
+    assert run(spark, rows) == want
+    assert run(spark, rows, block_bytes=64, cell_bytes=2048, tile=7, fan=2) == want
+    assert run(spark, rows, block_bytes=64, cell_bytes=1 << 20) == want
 
 
 def test_few_rows(spark):
