@@ -29,7 +29,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     line = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     rules = F.filter("findings", lambda f: f["kind"] != "net")
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(line(rules), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(line(rules), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"), n("net").alias("n_net"), F.round(F.array_max(F.transform("findings", lambda f: f["score"])), 4).alias("highest_score"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

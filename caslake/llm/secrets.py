@@ -1,7 +1,7 @@
 r"""Secret scans by a character convolutional network.
 
 Candidates of whole texts are the matches of three rules (`assign`, `access`, `hex`) and every other run of `LEAST`
-or more key-like characters that has both letters and digits (`net`). A network in numpy reads each candidate with the
+or more key-like characters, dots inside included, that has both letters and digits or follows a word that names keys (`net`). A network in numpy reads each candidate with the
 characters around it: filters over windows of characters, the largest answer of each filter inside and outside of the
 candidate, and a logistic layer. A candidate longer than the network's window is read in overlapping windows, of which
 the likeliest counts. It is trained on labelled findings; its answers are calibrated on findings held back from the
@@ -40,10 +40,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "net")
-LEAST, RECALL = 20, 0.98
-NET = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
+LEAST, RECALL = 16, 0.98
+NET = re.compile(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{{{LEAST - 2},}}[A-Za-z0-9+/_=-]")
+#: Words that name keys, and how many characters before a candidate they may begin.
+NAMING, REACH = re.compile(r"(?i)key|auth|bearer|credential|private|passphrase"), 24
 #: What a text must have for the rules to match; for a library that looks at all texts of a batch at once.
-MAY = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "net": rf"[A-Za-z0-9+/_=-]{{{LEAST}}}"}
+MAY = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "net": rf"[A-Za-z0-9+/_=.-]{{{LEAST}}}"}
 BEFORE, INSIDE, AFTER = 32, 48, 16
 WIDTH, FILTERS = 5, 24
 LENGTH = BEFORE + INSIDE + AFTER
@@ -70,7 +72,7 @@ def others(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
         if any(x < b and a < y for x, y in ends[max(0, i - 1) : i + 2]):
             continue
         s = m[0]
-        if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
+        if re.search("[0-9]", s) and re.search("[A-Za-z]", s) or NAMING.search(text, max(0, a - REACH), a):
             out.append((a, b, "net"))
     return out
 
@@ -168,6 +170,9 @@ def findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
         lambda: (r.choice(["", "Authorization: Bearer ", "auth=", "use "]), some(alnum, r.randint(24, 64))),
         lambda: (r.choice(["", "pat ", "export T="]), r.choice(["ghp_", "gho_", "sk_live_", "pk_live_", "xoxb-", "glpat-", "npm_"]) + some(alnum, r.randint(20, 40))),
         lambda: (r.choice(["", "jwt ", "Cookie: "]), "eyJ" + some(alnum + "_-", r.randint(30, 90))),
+        lambda: (r.choice(["", "jwt ", "Bearer "]), ".".join(["eyJ" + some(alnum, r.randint(15, 40)), "eyJ" + some(alnum + "_-", r.randint(20, 60)), some(alnum + "_-", 43)])),
+        lambda: (r.choice(["key ", "auth: ", "credential ", "private key ", "the key is "]), some(alnum, r.randint(16, 24))),
+        lambda: (r.choice(["key ", "auth: ", "credential ", "private key ", "passphrase "]), some(r.choice([alnum[:26], alnum[26:52], alnum[:52]]), r.randint(20, 40))),
         lambda: (r.choice(["aws_secret_access_key = ", "secret: ", "private ", "credentials "]), some(alnum + "+/", 40)),
     ]
     plain = [
@@ -178,6 +183,10 @@ def findings(n: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
         lambda: (r.choice(["", "nr. ", "on "]), "-".join(str(r.randint(1, 9999)) for _ in range(r.randint(5, 8))) + r.choice(["a", "b", "Z", "T"])),
         lambda: (r.choice(["", "# "]), r.choice("=-_") * r.randint(18, 40) + r.choice(["a1", "x2"])),
         lambda: (r.choice(["", "class "]), "".join(w.capitalize() for w in r.choices(["item", "page", "value", "list", "http", "utf8", "int32", "reader", "factory"], k=r.randint(4, 7))) + "1"),
+        lambda: (r.choice(["", "http://", "at "]), ".".join(r.choices(["www", "example", "mail2", "static", "news", "blog", "cdn1", "shop24"], k=r.randint(2, 4))) + r.choice([".com", ".org", ".de"]) + "/" + r.choice(["page", "item", "2021", "archive"]) + str(r.randint(1, 999))),
+        lambda: (r.choice(["", "file ", "get "]), r.choice(["library", "package", "release", "report"]) + r.choice([".", "-", "_"]) + r.choice(["core", "base", "final", "linux"]) + "-" + ".".join(str(r.randint(0, 20)) for _ in range(3)) + r.choice([".tar.gz", ".zip", ".x86_64", ".json"])),
+        lambda: (r.choice(["on ", "at ", "", "key date "]), f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}Z"),
+        lambda: (r.choice(["key ", "the key to ", "author ", "private ", "monkey "]), "".join(word() for _ in range(r.randint(6, 9))).replace("é", "e").replace("ó", "o").ljust(16, "e")),
         lambda: ("", "".join(word() for _ in range(6)).replace("é", "e").replace("ó", "o") + str(r.randint(0, 99))),
     ]
     out = []
