@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,9 +88,20 @@ class EventLog:
 
     @contextmanager
     def writer(self) -> Iterator[None]:
-        """Holds the log's lock, a file that can be made only once; for logs in local folders."""
+        """Holds the log's lock, a file that can be made only once; in stores whose files can't be made exclusively, appends must be kept apart by the caller."""
         if "://" in self.path and not self.path.startswith("file://"):
-            yield
+            mark = self.spark._jvm.org.apache.hadoop.fs.Path(self.path.rstrip("/") + ".lock")
+            fs = mark.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            try:
+                fs.create(mark, False).close()
+            except Py4JJavaError as e:
+                if not fs.exists(mark):
+                    raise
+                raise RuntimeError(f"another writer holds {mark}") from e
+            try:
+                yield
+            finally:
+                fs.delete(mark, False)
             return
         lock = Path(self.path.removeprefix("file://") + ".lock")
         lock.parent.mkdir(parents=True, exist_ok=True)

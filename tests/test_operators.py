@@ -123,6 +123,16 @@ def test_log(spark, tmp_path):
         log.append_rows([{"kind": "file_deleted", "at": 1, "v": 1, "path": "/a"}])
 
 
+def test_the_lock_of_a_log_in_another_store(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./data", f"file://{tmp_path}")
+    log = EventLog(spark, "viewfs://logs/data/log")
+    assert log.append_rows([{"kind": "file_deleted", "at": 1, "v": 1, "path": "/a"}]) == 1
+    with log.writer(), pytest.raises(RuntimeError, match="another writer"):
+        log.append_rows([{"kind": "file_deleted", "at": 2, "v": 1, "path": "/a"}])
+    assert not (tmp_path / "log.lock").exists()
+    assert log.append_rows([{"kind": "file_deleted", "at": 3, "v": 1, "path": "/a"}]) == 2
+
+
 def test_store_and_sweep(spark, tmp_path):
     import hashlib
 
