@@ -9,7 +9,9 @@ r"""Toxicity by weak supervision.
 3. A generative label model, fitted by expectation maximisation to the votes alone, estimates each voter's accuracy in
    both classes and the correlations between voters: a vote depends on the class and on the vote of the voter that it
    goes with most closely given the class (a tree of the largest conditional mutual informations). It starts from the
-   voters' majority; the only thing it is told of the labels is the share of toxic ones, as the prior of the classes.
+   voters' majority; the only things it is told of the labels are the share of toxic ones, as the prior of the classes,
+   and which mined lexicons are the most telling: these it believes more beforehand. Else, in a large sample, texts of
+   which only such lexicons speak settle on the wrong side, since voters that agree are as one.
 4. A linear classifier (logistic, ridge, Newton's method) is trained on the model's posterior labels; its features are
    those with the clearest counts, at most `MOST_FEATURES`. It scores every text by a function that needs nothing but
    the text.
@@ -43,6 +45,8 @@ MOST_FEATURES = 600
 LEAST_RATIO = 12.0
 #: Log odds ratio of a mined lexicon's features, at least, either way.
 LEXICON_ODDS = 2.5
+#: Mined lexicons from these log odds on are believed beforehand as if by the first share of their votes, other voters by the second.
+TELLING_ODDS, BELIEF_TELLING, BELIEF = 4, 0.5, 0.05
 CLEAN, TOXIC = 1, 2
 
 #: Common insults, by language.
@@ -109,6 +113,12 @@ def voters(mined: pd.DataFrame) -> list[tuple[str, int, object]]:
     return out + [(k, vote, frozenset(v)) for (k, vote), v in sorted(groups.items())]
 
 
+def beliefs(panel) -> list[float]:
+    """How far each voter is believed beforehand, and the last voter of votes()."""
+    telling = [name.startswith("mined ") and int(name.split()[-1]) >= TELLING_ODDS for name, *_ in panel]
+    return [*(BELIEF_TELLING if x else BELIEF for x in telling), BELIEF]
+
+
 def votes(text: str, found: set[str], panel) -> list[int]:
     """2 toxic, 1 clean, 0 nothing; the last voter says clean of texts with words of which no other says toxic."""
     out = [vote * bool(not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text)) for _, vote, x in panel]
@@ -124,8 +134,8 @@ def majority(v: np.ndarray) -> np.ndarray:
 class LabelModel:
     """P(y) and P(vote | y, vote of the parent), by expectation maximisation; the parents form a tree."""
 
-    def __init__(self, share: float, rounds: int = 60, smooth: float = 0.5, belief: float = 0.05):
-        """belief: so many of its votes a voter is taken to have cast rightly beforehand; without it, voters that always agree say nothing of the class."""
+    def __init__(self, share: float, rounds: int = 60, smooth: float = 0.5, belief: float | list[float] = 0.05):
+        """belief, one for all or one a voter: so many of its votes a voter is taken to have cast rightly beforehand; without it, voters that always agree say nothing of the class."""
         self.prior, self.rounds, self.smooth, self.belief = np.array([1 - share, share]), rounds, smooth, belief
 
     def _tables(self, v: np.ndarray, w: np.ndarray) -> None:
@@ -145,11 +155,12 @@ class LabelModel:
             parent[i] = j
             inside.add(i)
         self.parent, self.table = parent, []
+        belief = np.broadcast_to(self.belief, m)
         for i in range(m):
             j = parent[i]
             t = np.stack([(hot[i] * w[:, [y]]).sum(0) for y in (0, 1)])[:, None, :] if j < 0 else np.stack([(pair[i, j][y].T if i > j else pair[j, i][y]) for y in (0, 1)])
             for y in (0, 1):
-                t[y, :, y + 1] += self.belief * t[:, :, y + 1].sum(0)
+                t[y, :, y + 1] += belief[i] * t[:, :, y + 1].sum(0)
             t = t + self.smooth
             self.table.append(t / t.sum(2, keepdims=True))  # y, vote of the parent, vote
 
@@ -245,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     v = np.array([r["votes"] for r in seen], dtype=int)
     rate = np.array([1 - share, share]) / np.maximum(np.bincount(y, minlength=2) / len(y), 1e-9)
     weight = rate[y] / rate[y].mean()
-    model = LabelModel(share).fit(v, weight)
+    model = LabelModel(share, belief=beliefs(panel)).fit(v, weight)
     posterior = model.posterior(v)[:, 1]
     x = np.zeros((len(seen), len(index)), dtype=np.float32)
     for k, r in enumerate(seen):

@@ -57,6 +57,20 @@ def test_label_model_recovers_accuracies_and_a_correlated_pair():
     assert ((m.posterior(v)[:, 1] > 0.5) == y).mean() > 0.95
 
 
+def test_texts_of_which_only_agreeing_voters_speak_keep_their_class():
+    # half of the toxic texts have no word of the fixed lexicons; three lexicons that go together name them
+    for seed in range(3):
+        r = np.random.default_rng(seed)
+        y = r.random(4000) < 0.1
+        listed, mined = y & (r.random(4000) < 0.5), y | (r.random(4000) < 0.005)
+        said = [listed & (r.random(4000) < 0.7), listed & (r.random(4000) < 0.4), mined, mined & (r.random(4000) < 0.98), mined, *((r.random(4000) < p) | (y & (r.random(4000) < 0.3)) for p in (0.1, 0.05, 0.02))]
+        v = T.TOXIC * np.stack(said, 1).astype(int)
+        v = np.concatenate([v, (v.max(1) == 0).astype(int)[:, None]], 1)
+        names = ["lexicon en", "pattern you", "mined toxic beginning 5", "mined toxic end 5", "mined toxic word 5", "mined toxic beginning 2", "mined toxic word 2", "mined toxic word 3"]
+        p = T.LabelModel(0.1, belief=T.beliefs([(n, T.TOXIC, None) for n in names])).fit(v, np.ones(4000)).posterior(v)[:, 1]
+        assert (p[y & ~listed] >= 0.5).mean() > 0.9 and (p[~y] < 0.5).mean() > 0.95
+
+
 def test_posteriors_follow_the_votes_and_not_the_labels(spark):
     # every tenth label is wrong: the votes outvote it, so the posteriors agree with the truth and not with the labels
     truth = {k: int(k % 3 == 0) for k in range(900)}
