@@ -55,13 +55,24 @@ def format_size(n: Column) -> Column:
     return out.otherwise(F.concat(_tenths(n / KIB**5, 1), F.lit(" PiB")))
 
 
+def _iso_date(us: Column) -> Column:
+    """The UTC date of a moment, whatever the session's time zone; years are astronomical: 0 is 1 BC, and those before it have a sign and no zeros in front."""
+    micros = F.lit(86_400_000_000)
+    days = F.call_function("div", us, micros) - ((us < 0) & (us % micros != 0)).cast("long")
+    day = F.date_from_unix_date(days.cast("int"))
+    year = F.year(day).cast("string")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.when(F.year(day).between(0, 9999), F.lpad(year, 4, "0")).otherwise(year), F.lit("-"), two(F.month(day)), F.lit("-"), two(F.day(day)))
+
+
 def relative_time(us: Column, now_us: Column | int) -> Column:
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
-    s = F.when(now - us < 0, -F.expr("1L")).otherwise(F.floor((now - us) / 1_000_000))
+    # null if the difference has more than 64 bits, which is long ago
+    s = F.when(us > now, -F.expr("1L")).otherwise(F.floor(F.try_subtract(now, us) / 1_000_000))
     ago = lambda size, unit: F.concat(F.floor(s / size).cast("string"), F.lit(f"{unit} ago"))
     return (
         F.when(us.isNull(), F.lit("")).when(s < 5, F.lit("just now")).when(s < 60, ago(1, "s")).when(s < 3600, ago(60, "m")).when(s < 86_400, ago(3600, "h"))
-        .when(s < 2_592_000, ago(86_400, "d")).when(s < 31_536_000, ago(2_592_000, "mo")).otherwise(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd"))
+        .when(s < 2_592_000, ago(86_400, "d")).when(s < 31_536_000, ago(2_592_000, "mo")).otherwise(_iso_date(us))
     )
 
 

@@ -52,6 +52,19 @@ def test_formats(spark):
     assert one(spark, text.live_line(F.lit("file_moved"), F.lit(None).cast("string"), F.lit("/a"), F.lit("/b"))) == "↻  /a → /b"
 
 
+def test_dates_long_ago_and_in_any_time_zone(spark):
+    now = 1706745600000000
+    for us, want in ((-62135596800000001, "0000-12-31"), (-62167219200000001, "-1-12-31"), (-93000000000000000, "-978-12-13"), (-9223372022400000000, "-290308-12-22"), (-(2**63), "-290308-12-21"), (-1, "1969-12-31"), (0, "1970-01-01")):
+        assert one(spark, text.relative_time(F.lit(us).cast("long"), now)) == want
+    assert one(spark, text.relative_time(F.lit(2**63 - 1).cast("long"), now)) == "just now"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert one(spark, text.relative_time(F.lit(0).cast("long"), now)) == "1970-01-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_hashes(spark):
     zero = bytes(32)
     assert one(spark, text.hash_hex(F.lit(zero))) == "0" * 64
