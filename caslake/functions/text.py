@@ -33,17 +33,24 @@ def hash_valid(h: Column) -> Column:
     return F.coalesce(F.octet_length(h) == 32, F.lit(False))
 
 
-def _tenths(x: Column, places: int) -> Column:
-    return F.round(x, places).cast("string")
+def _rounded(n: Column, unit: int, places: int) -> Column:
+    """n units to 1 or 2 decimals, half away from zero on the binary product; plain digits at any size, without zeros at the end but for the first decimal."""
+    scaled = n / unit * float(10**places)
+    low = F.floor(scaled)
+    r = low + (scaled - low >= 0.5).cast("long")
+    rest = r % 10**places
+    if places == 2:
+        rest = F.when(rest % 10 == 0, F.floor(rest / 10).cast("string")).otherwise(F.lpad(rest.cast("string"), 2, "0"))
+    return F.concat(F.floor(r / 10**places).cast("string"), F.lit("."), rest.cast("string"))
 
 
 def format_bytes(n: Column) -> Column:
     """The short form of the command line: B, KB and MB with one decimal, GB with two, binary thresholds."""
     return (
         F.when(n < KIB, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < KIB**2, F.concat(_tenths(n / KIB, 1), F.lit(" KB")))
-        .when(n < KIB**3, F.concat(_tenths(n / KIB**2, 1), F.lit(" MB")))
-        .otherwise(F.concat(_tenths(n / KIB**3, 2), F.lit(" GB")))
+        .when(n < KIB**2, F.concat(_rounded(n, KIB, 1), F.lit(" KB")))
+        .when(n < KIB**3, F.concat(_rounded(n, KIB**2, 1), F.lit(" MB")))
+        .otherwise(F.concat(_rounded(n, KIB**3, 2), F.lit(" GB")))
     )
 
 
@@ -51,8 +58,8 @@ def format_size(n: Column) -> Column:
     """The long form: B, then KiB to PiB with one decimal; '' for null."""
     out = F.when(n.isNull(), F.lit("")).when(n < KIB, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = out.when(n < KIB ** (k + 1), F.concat(_tenths(n / KIB**k, 1), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(_tenths(n / KIB**5, 1), F.lit(" PiB")))
+        out = out.when(n < KIB ** (k + 1), F.concat(_rounded(n, KIB**k, 1), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(_rounded(n, KIB**5, 1), F.lit(" PiB")))
 
 
 def _iso_date(us: Column) -> Column:

@@ -52,6 +52,11 @@ def test_formats(spark):
     assert one(spark, text.live_line(F.lit("file_moved"), F.lit(None).cast("string"), F.lit("/a"), F.lit("/b"))) == "↻  /a → /b"
 
 
+def test_sizes_have_plain_digits_and_round_as_binary_products(spark):
+    for n, want in ((2**30 * 12345678, "12345678.0 GB"), (2**63 - 1, "8589934592.0 GB"), (int(2**30 * 1.005), "1.0 GB"), (int(2**30 * 20000000.25), "20000000.25 GB"), (2**30 * 3 // 2, "1.5 GB"), (int(2**30 * 1.08), "1.08 GB"), (1024 * 1024 - 1, "1024.0 KB")):
+        assert one(spark, text.format_bytes(F.lit(n).cast("long"))) == want
+
+
 def test_dates_long_ago_and_in_any_time_zone(spark):
     now = 1706745600000000
     for us, want in ((-62135596800000001, "0000-12-31"), (-62167219200000001, "-1-12-31"), (-93000000000000000, "-978-12-13"), (-9223372022400000000, "-290308-12-22"), (-(2**63), "-290308-12-21"), (-1, "1969-12-31"), (0, "1970-01-01")):
