@@ -54,12 +54,14 @@ def format_bytes(n: Column) -> Column:
     )
 
 
-def format_size(n: Column) -> Column:
-    """The long form: B, then KiB to PiB with one decimal; '' for null."""
+def format_size(n: Column, largest: str = "PiB") -> Column:
+    """The long form: B, then KiB to the largest unit with one decimal; '' for null."""
+    units = ("KiB", "MiB", "GiB", "TiB", "PiB")
+    top = units.index(largest)
     out = F.when(n.isNull(), F.lit("")).when(n < KIB, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(units[:top], 1):
         out = out.when(n < KIB ** (k + 1), F.concat(_rounded(n, KIB**k, 1), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(_rounded(n, KIB**5, 1), F.lit(" PiB")))
+    return out.otherwise(F.concat(_rounded(n, KIB ** (top + 1), 1), F.lit(f" {largest}")))
 
 
 def _iso_date(us: Column) -> Column:

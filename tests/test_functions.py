@@ -2,8 +2,10 @@ import hashlib
 import io
 import random
 
+import duckdb
 import pytest
 from caslake.functions import chunking, hashing, ignore, paths, text
+from caslake.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,8 @@ def test_formats(spark):
 def test_sizes_have_plain_digits_and_round_as_binary_products(spark):
     for n, want in ((2**30 * 12345678, "12345678.0 GB"), (2**63 - 1, "8589934592.0 GB"), (int(2**30 * 1.005), "1.0 GB"), (int(2**30 * 20000000.25), "20000000.25 GB"), (2**30 * 3 // 2, "1.5 GB"), (int(2**30 * 1.08), "1.08 GB"), (1024 * 1024 - 1, "1024.0 KB")):
         assert one(spark, text.format_bytes(F.lit(n).cast("long"))) == want
+    for n, want in ((2**50, "1024.0 TiB"), (2**63 - 1, "8388608.0 TiB"), (1024, "1.0 KiB"), (None, "")):
+        assert one(spark, text.format_size(F.lit(n).cast("long"), "TiB")) == want
 
 
 def test_dates_long_ago_and_in_any_time_zone(spark):
@@ -70,6 +74,20 @@ def test_dates_long_ago_and_in_any_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_registered_times_and_sizes_at_keys_beyond_the_small_tables(spark, tmp_path):
+    keys = [0, 1, 1200, 8701, 12345, 14000, 14939]
+    spark.createDataFrame([(k,) for k in [*keys, 15000, 19999]], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k,) for k in (*range(900, 1100), *range(8_999_000, 9_000_000), *range(149_000, 150_000))], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet' where event_id < 14940")  # the SQL fails on the others
+    for name in ("format_bytes_cli", "format_size_ui", "relative_time"):
+        got = {r[0]: r[1] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        if name == "relative_time":
+            assert got.pop(15000) == got.pop(19999) == ""
+        assert got == dict(con.execute(catalog.SQL[name]).fetchall()), name
+
+
 def test_hashes(spark):
     zero = bytes(32)
     assert one(spark, text.hash_hex(F.lit(zero))) == "0" * 64
