@@ -51,17 +51,18 @@ def anchors(text: Column) -> Column:
     none = F.array().cast("array<bigint>")
     piece = lambda wide, i, n: F.substr(wide, i * 4 + 1, F.lit(4 * n))
 
-    def closed(h: Column, i: Column) -> Column:
-        first, last = F.get(h, i), F.get(h, i + (WINDOW - 1))
-        left = right = F.lit(True)
-        for j in range(1, WINDOW):
-            left = left & (first <= F.get(h, i + j))
-            right = right & (last <= F.get(h, i + (WINDOW - 1 - j)))
-        return left | right
+    def inside(x: Column, h: Column, i: Column) -> Column:
+        """x, the lesser end of the k-mer at i, is no more than what lies between its ends."""
+        out = x <= F.get(h, i + 1)
+        for j in range(2, WINDOW - 1):
+            out = out & (x <= F.get(h, i + j))
+        return out
 
     def found(wide: Column, h: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: closed(h, i))
-        return F.transform(at, lambda i: F.shiftleft(i.cast("long"), 32).bitwiseOR(F.xxhash64(piece(wide, i, K)).bitwiseAND(F.lit(LOW))))
+        # null where no whole k-mer begins
+        ends = F.transform(h, lambda x, i: F.when(x <= F.get(h, i + (WINDOW - 1)), x).otherwise(F.get(h, i + (WINDOW - 1))))
+        anchor = lambda i: F.shiftleft(i.cast("long"), 32).bitwiseOR(F.xxhash64(piece(wide, i, K)).bitwiseAND(F.lit(LOW)))
+        return F.filter(F.transform(ends, lambda x, i: F.when(inside(x, h, i), anchor(i))), lambda a: a.isNotNull())
 
     def of(wide: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), (F.octet_length(wide) / 4).cast("int") - S), lambda i: F.xxhash64(piece(wide, i, S)))

@@ -101,3 +101,9 @@ def test_whole_table(spark):
     want = sorted(brute(rows))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_anchors_compare_the_lesser_end_once_with_what_lies_between(spark):
+    rows = spark.createDataFrame([("a" * 30,), ("some text with anchors in it, and more",)], "text string").select(S.anchors(S.F.col("text")).alias("a"))
+    assert 0 < rows._jdf.queryExecution().analyzed().toString().count("<=") <= S.WINDOW - 1
+    assert [len({x >> 32 for x in r.a}) == len(r.a) > 0 for r in rows.collect()] == [True, True]
