@@ -6,12 +6,14 @@ r"""Toxicity by weak supervision.
 2. Voters: fixed lexicons, one a language; lexicons mined from those counts, toxic and clean ones, split by kind and
    by how telling they are; and patterns. A lexicon says its class of a text that has any of its features, and nothing of others; one more
    voter says clean of texts of which nobody says toxic. Labels have no other part in the votes.
-3. A generative label model, fitted by expectation maximisation to the votes alone, estimates each voter's accuracy in
+3. A generative label model, fitted by expectation maximisation to the votes, estimates each voter's accuracy in
    both classes and the correlations between voters: a vote depends on the class and on the vote of the voter that it
-   goes with most closely given the class (a tree of the largest conditional mutual informations). It starts from the
-   voters' majority; the only things it is told of the labels are the share of toxic ones, as the prior of the classes,
-   and which mined lexicons are the most telling: these it believes more beforehand. Else, in a large sample, texts of
-   which only such lexicons speak settle on the wrong side, since voters that agree are as one.
+   goes with most closely given the class (a tree of the largest conditional mutual informations). Of the labels it is
+   told the share of toxic ones, as the prior of the classes; the tables that it starts from; and how the mined lexicons
+   and the last voter vote on either class, `TRUST` times as much as the posteriors say of that. The tables of fixed
+   lexicons and patterns follow from the votes, and no row's label is evidence in its own posterior. That one of the
+   former says nothing is evidence as well, as measured; of the others it is none. Without this, texts of which only mined lexicons speak
+   settle on either side by chance of the sample, since voters that agree are as one.
 4. A linear classifier (logistic, ridge, Newton's method) is trained on the model's posterior labels; its features are
    those with the clearest counts, at most `MOST_FEATURES`. It scores every text by a function that needs nothing but
    the text.
@@ -47,6 +49,8 @@ LEAST_RATIO = 12.0
 LEXICON_ODDS = 2.5
 #: Mined lexicons from these log odds on are believed beforehand as if by the first share of their votes, other voters by the second.
 TELLING_ODDS, BELIEF_TELLING, BELIEF = 4, 0.5, 0.05
+#: How often the votes of a mined lexicon, and of the last voter, count by the labels that it was mined from, beside once by the posteriors.
+TRUST = 10.0
 CLEAN, TOXIC = 1, 2
 
 #: Common insults, by language.
@@ -119,6 +123,11 @@ def beliefs(panel) -> list[float]:
     return [*(BELIEF_TELLING if x else BELIEF for x in telling), BELIEF]
 
 
+def trusts(panel) -> list[float]:
+    """How far the labels say what a voter's votes are worth, and those of the last voter of votes(), which follow from the mined lexicons' too."""
+    return [*(TRUST if name.startswith("mined ") else 0.0 for name, *_ in panel), TRUST]
+
+
 def votes(text: str, found: set[str], panel) -> list[int]:
     """2 toxic, 1 clean, 0 nothing; the last voter says clean of texts with words of which no other says toxic."""
     out = [vote * bool(not found.isdisjoint(x) if isinstance(x, frozenset) else x.search(text)) for _, vote, x in panel]
@@ -134,11 +143,12 @@ def majority(v: np.ndarray) -> np.ndarray:
 class LabelModel:
     """P(y) and P(vote | y, vote of the parent), by expectation maximisation; the parents form a tree."""
 
-    def __init__(self, share: float, rounds: int = 60, smooth: float = 0.5, belief: float | list[float] = 0.05):
-        """belief, one for all or one a voter: so many of its votes a voter is taken to have cast rightly beforehand; without it, voters that always agree say nothing of the class."""
-        self.prior, self.rounds, self.smooth, self.belief = np.array([1 - share, share]), rounds, smooth, belief
+    def __init__(self, share: float, rounds: int = 60, smooth: float = 0.5, belief: float | list[float] = 0.05, trust: float | list[float] = 0.0):
+        """belief, one for all or one a voter: so many of its votes a voter is taken to have cast rightly beforehand; without it, voters that always agree say nothing of the class. trust, likewise: so often its votes count by the rows' labels, if fit() is given any, beside once by the posteriors."""
+        self.prior, self.rounds, self.smooth, self.belief, self.trust = np.array([1 - share, share]), rounds, smooth, belief, trust
 
-    def _tables(self, v: np.ndarray, w: np.ndarray) -> None:
+    def _tables(self, v: np.ndarray, w: np.ndarray, told: np.ndarray | None = None) -> None:
+        """w, told: the rows' weights of either class by the posteriors and by the labels."""
         m = v.shape[1]
         hot = [np.stack([v[:, j] == x for x in range(3)], 1).astype(float) for j in range(m)]
         link = np.full((m, m), -1.0)
@@ -155,12 +165,16 @@ class LabelModel:
             parent[i] = j
             inside.add(i)
         self.parent, self.table = parent, []
-        belief = np.broadcast_to(self.belief, m)
+        belief, trust = np.broadcast_to(self.belief, m), np.broadcast_to(self.trust, m) * (told is not None)
+        self.measured = trust > 0
         for i in range(m):
             j = parent[i]
             t = np.stack([(hot[i] * w[:, [y]]).sum(0) for y in (0, 1)])[:, None, :] if j < 0 else np.stack([(pair[i, j][y].T if i > j else pair[j, i][y]) for y in (0, 1)])
             for y in (0, 1):
                 t[y, :, y + 1] += belief[i] * t[:, :, y + 1].sum(0)
+            if self.measured[i]:
+                of = np.ones((len(v), 1)) if j < 0 else hot[j]
+                t = t + trust[i] * np.stack([of.T @ (hot[i] * told[:, [y]]) for y in (0, 1)])
             t = t + self.smooth
             self.table.append(t / t.sum(2, keepdims=True))  # y, vote of the parent, vote
 
@@ -169,16 +183,21 @@ class LabelModel:
         log = np.tile(np.log(self.prior), (len(v), 1))
         for i, t in enumerate(self.table):
             says = np.log(t[:, v[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(v), int), v[:, i]]).T
-            log += np.where(v[:, [i]] > 0, says, 0)  # saying nothing is no evidence
+            log += says if self.measured[i] else np.where(v[:, [i]] > 0, says, 0)  # saying nothing is no evidence, unless labels say what it is worth
         log -= log.max(1, keepdims=True)
         p = np.exp(log)
         return p / p.sum(1, keepdims=True)
 
-    def fit(self, v: np.ndarray, weight: np.ndarray) -> LabelModel:
-        p = majority(v)
+    def fit(self, v: np.ndarray, weight: np.ndarray, label: np.ndarray | None = None) -> LabelModel:
+        """label, 0 or 1 a row: the tables start from these, else from the voters' majority; trusted voters keep to them."""
+        p, told = majority(v), None
         p = np.stack([1 - p, p], 1)
+        if label is not None:
+            told = np.stack([label == 0, label == 1], 1) * weight[:, None]
+            self._tables(v, told, told)
+            p = self.posterior(v)
         for _ in range(self.rounds):
-            self._tables(v, p * weight[:, None])
+            self._tables(v, p * weight[:, None], told)
             p = self.posterior(v)
         # the probability that a vote that was cast is right, and how much of each class the voter speaks on
         cast = [(v[:, j] > 0) * weight for j in range(v.shape[1])]
@@ -256,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     v = np.array([r["votes"] for r in seen], dtype=int)
     rate = np.array([1 - share, share]) / np.maximum(np.bincount(y, minlength=2) / len(y), 1e-9)
     weight = rate[y] / rate[y].mean()
-    model = LabelModel(share, belief=beliefs(panel)).fit(v, weight)
+    model = LabelModel(share, belief=beliefs(panel), trust=trusts(panel)).fit(v, weight, y)
     posterior = model.posterior(v)[:, 1]
     x = np.zeros((len(seen), len(index)), dtype=np.float32)
     for k, r in enumerate(seen):

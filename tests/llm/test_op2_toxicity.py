@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -71,6 +72,25 @@ def test_texts_of_which_only_agreeing_voters_speak_keep_their_class():
         assert (p[y & ~listed] >= 0.5).mean() > 0.9 and (p[~y] < 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("listed", [0.0, 0.3])
+def test_toxic_texts_are_caught_whatever_share_of_them_the_fixed_lexicons_know(spark, listed):
+    r = random.Random(2)
+    words = [f"{a}{b}{c}" for a in ("tor", "mel", "sin", "kar") for b in ("a", "e", "o") for c in ("nd", "st", "lin", "rim")]
+
+    def text(toxic):
+        w = [r.choice(words) for _ in range(25)]
+        if toxic:
+            w += [r.choice(("grobmund", "vexatrix", "chollado"))] * r.choice((1, 2)) + ["idiot", "moron"] * (r.random() < listed)
+        w += [r.choice(("torka", "melka"))] * (r.random() < (0.4 if toxic else 0.05))
+        return " ".join(r.sample(w, len(w)))
+
+    truth = {k: int(k % 8 == 0) for k in range(2000)}
+    docs = spark.createDataFrame([(k, text(y), "en", "s", 1) for k, y in truth.items()], SCHEMA)
+    labels = spark.createDataFrame([(k, y) for k, y in truth.items() if k % 3], "doc_id long, toxic int")
+    got = {x.doc_id: x.p >= 0.5 for x in T.scored(docs, labels, "p").collect()}
+    assert np.mean([got[k] for k, y in truth.items() if y]) > 0.98 and np.mean([got[k] for k, y in truth.items() if not y]) < 0.01
+
+
 def test_posteriors_follow_the_votes_and_not_the_labels(spark):
     # every tenth label is wrong: the votes outvote it, so the posteriors agree with the truth and not with the labels
     truth = {k: int(k % 3 == 0) for k in range(900)}
